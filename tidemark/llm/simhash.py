@@ -12,9 +12,11 @@ also lets a pair through under one signature only.
 Copies never meet each other: fingerprints are made distinct first, and
 documents come back by joining on the fingerprint.
 
-A signature shared by more than ``DENSE`` distinct fingerprints is not joined
-with itself, as its pairs would grow with the square of it.  Its fingerprints
-are linked another way, just as exact: two fingerprints within four bits have
+A signature shared by more than ``FEW`` distinct fingerprints is not joined with
+itself, as its pairs would grow with the square of it.  Up to ``DENSE`` its rows
+are compared in one place and only a spanning forest of its links comes out,
+which connects the same.  Beyond that its fingerprints are linked another way,
+just as exact: two fingerprints within four bits have
 a value within two bits of both, and all fingerprints around one value are
 within four bits of each other.  So each lists the 2,081 values around it, and
 those that share a value are linked to the smallest of them, a star instead of
@@ -40,7 +42,7 @@ from ._common import small_batches, staged, text_of
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: First bit and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-DENSE = 512
+FEW, DENSE = 8, 512
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -95,46 +97,100 @@ def with_fingerprints(
     return slim.mapInArrow(_fingerprints(schema.names, size), schema)
 
 
-def _masks() -> tuple[Column, Column, Column]:
-    """By signature number 0..63: the segment's mask, the bit left out, and the segment's number."""
-    masks, bits, numbers = [], [], []
-    for number, (low, width) in enumerate(SEGMENTS):
-        for k in range(width):
-            masks.append(_signed(((1 << width) - 1) << low))
-            bits.append(_signed(1 << (low + k)))
-            numbers.append(number)
-    return tuple(F.array(*[F.lit(x).cast("long") for x in xs])[F.col("slot")] for xs in (masks, bits, numbers))
+def _masks() -> tuple[Column, Column]:
+    """By signature number: the segment's mask, and the bit left out."""
+    own = _slots()
+    masks, bits = [_segment(k) for k, _ in own], [1 << i for _, i in own]
+    return tuple(F.array(*[F.lit(_signed(x)).cast("long") for x in xs])[F.col("slot")] for xs in (masks, bits))
 
 
-def links(fingerprints: DataFrame, dense: int = DENSE) -> DataFrame:
+def _slots() -> list[tuple[int, int]]:
+    """(segment, bit left out) by signature number."""
+    return [(k, low + i) for k, (low, width) in enumerate(SEGMENTS) for i in range(width)]
+
+
+def _segment(k: int) -> int:
+    low, width = SEGMENTS[k]
+    return ((1 << width) - 1) << low
+
+
+def _pair_under(x: Column, slot: Column) -> Column:
+    """Whether a pair that differs in ``x`` counts under the signature: under the
+    first segment with at most one difference, with that bit, or else the first, left out."""
+    out, base = F.lit(False), 0
+    for k, (low, width) in enumerate(SEGMENTS):
+        own = x.bitwiseAND(F.lit(_signed(_segment(k))))
+        here = (slot >= base) & (slot < base + width)
+        for e in range(k):
+            here &= F.bit_count(x.bitwiseAND(F.lit(_signed(_segment(e))))) > 1
+        left_out = F.call_function("shiftleft", F.lit(1).cast("long"), slot - (base - low))
+        out |= here & F.when(own == 0, slot == base).otherwise(own == left_out)
+        base += width
+    return out & (F.bit_count(x) <= DISTANCE)
+
+
+def forest(slot: int, values: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that count under a signature (as positions)."""
+    segment, bit = _slots()[slot]
+    x = values[:, None] ^ values[None, :]
+    own = x & np.uint64(_segment(segment))
+    linked = (np.bitwise_count(x) <= DISTANCE) & ((own == np.uint64(1 << bit)) | ((own == 0) & (bit == SEGMENTS[segment][0])))
+    for e in range(segment):
+        linked &= np.bitwise_count(x & np.uint64(_segment(e))) > 1
+    np.fill_diagonal(linked, False)
+    fresh, out = linked.any(axis=1), []
+    while fresh.any():
+        stack = [int(np.argmax(fresh))]
+        fresh[stack[0]] = False
+        while stack:
+            at = stack.pop()
+            near = np.flatnonzero(linked[at] & fresh).tolist()
+            fresh[near] = False
+            out += [(at, k) for k in near]
+            stack += near
+    return out
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, part, fp) sorted by signature; a signature may go on in the next batch."""
+    slots, parts, fps = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def closed(cuts: np.ndarray) -> pa.RecordBatch:
+        ends = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            ends += [(a + i, a + j) for i, j in forest(int(slots[a]), fps[a:b].view(np.uint64))]
+        at = np.array(ends, dtype=np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(fps[at[:, 0]]), pa.array(fps[at[:, 1]])], names=["a", "b"])
+
+    for batch in batches:
+        slots, parts, fps = (
+            np.concatenate((kept, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k, kept in enumerate((slots, parts, fps))
+        )
+        cuts = np.concatenate(([0], np.flatnonzero((slots[1:] != slots[:-1]) | (parts[1:] != parts[:-1])) + 1))
+        yield closed(cuts)
+        slots, parts, fps = slots[cuts[-1] :], parts[cuts[-1] :], fps[cuts[-1] :]
+    yield closed(np.array([0, len(fps)]) if len(fps) else np.zeros(1, dtype=np.int64))
+
+
+def links(fingerprints: DataFrame, few: int = FEW, dense: int = DENSE) -> DataFrame:
     """Pairs (a, b) that connect what is within ``DISTANCE`` bits.
 
-    ``fingerprints`` has the distinct values in ``fp``.  Outside dense
-    signatures these are all the pairs, once each; inside them, the links of a star.
+    ``fingerprints`` has the distinct values in ``fp``.
     """
-    mask, bit, number = _masks()
+    mask, bit = _masks()
     slots = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
     signed = slots.select("fp", "slot", F.col("fp").bitwiseAND(mask).bitwiseAND(F.bitwise_not(bit)).alias("part"))
     counted = signed.withColumn("n", F.expr("count(*) OVER (PARTITION BY slot, part)"))
     counted = staged(counted.filter("n > 1"), "simhash-signatures")
-    few, many = counted.filter(F.col("n") <= dense), counted.filter(F.col("n") > dense)
+    small, many = counted.filter(F.col("n") <= few), counted.filter(F.col("n") > dense)
+    middle = counted.filter((F.col("n") > few) & (F.col("n") <= dense))
 
-    a, b = few.alias("a"), few.alias("b")
+    a, b = small.alias("a"), small.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    once = F.lit(False)
-    base = 0
-    for k, (low, width) in enumerate(SEGMENTS):
-        own = x.bitwiseAND(F.lit(_signed(((1 << width) - 1) << low)))
-        earlier = F.lit(True)
-        for low_e, width_e in SEGMENTS[:k]:
-            earlier &= F.bit_count(x.bitwiseAND(F.lit(_signed(((1 << width_e) - 1) << low_e)))) > 1
-        here = (F.col("a.slot") >= base) & (F.col("a.slot") < base + width)
-        equal = (own == 0) & (F.col("a.slot") == base)
-        one = (own != 0) & (own == F.expr(f"shiftleft(1L, a.slot - {base} + {low})"))
-        once |= here & (equal | one) & earlier
-        base += width
-    condition = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, condition & (F.bit_count(x) <= DISTANCE) & once).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp"))
+    pairs = a.join(b, same & _pair_under(x, F.col("a.slot"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    together = middle.select("slot", "part", "fp").repartition("slot", "part").sortWithinPartitions("slot", "part", "fp")
+    pairs = pairs.unionByName(together.mapInArrow(_forests, "a long, b long"))
 
     around = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
     ball = F.array(*[F.lit(_signed(v)) for v in around])
@@ -169,10 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _grouped(rows: DataFrame, key: Column, dense: int = DENSE) -> DataFrame:
+def _grouped(rows: DataFrame, key: Column, few: int = FEW, dense: int = DENSE) -> DataFrame:
     """(fp, first): the least ``key`` among all rows that a fingerprint's links reach."""
     own = staged(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    labels = components(links(own.select("fp"), dense))
+    labels = components(links(own.select("fp"), few, dense))
     labelled = staged(
         own.join(labels, own["fp"] == labels["node"]).select("fp", "label", "first"), "simhash-labelled"
     )
@@ -184,7 +240,7 @@ def _grouped(rows: DataFrame, key: Column, dense: int = DENSE) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, dense: int = DENSE
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, few: int = FEW, dense: int = DENSE
 ) -> DataFrame:
     """A row per document: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and
     ``component_id``, the smallest id among the documents that links reach.
@@ -195,14 +251,14 @@ def near_duplicates(
     """
     ids = documents.select(documents[id_column].alias("doc_id"), documents[text_column].alias("text"))
     rows = staged(with_fingerprints(ids, ("doc_id",), "text", size), "simhash-fingerprints")
-    groups = _grouped(rows, F.col("doc_id"), dense)
+    groups = _grouped(rows, F.col("doc_id"), few, dense)
     return rows.join(groups, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
 def drop_near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, dense: int = DENSE
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, few: int = FEW, dense: int = DENSE
 ) -> DataFrame:
     """The documents, all columns, with one row of each group: that of the smallest
     id (null ids last), and of equal ids the first read.
@@ -213,6 +269,6 @@ def drop_near_duplicates(
     kept = documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", documents[text_column])
     rows = staged(with_fingerprints(kept, (*names, "__row"), "__text", size, "__fp"), "simhash-rows")
     slim = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("__row").alias("row")).alias("key"))
-    groups = _grouped(slim, F.col("key"), dense)
+    groups = _grouped(slim, F.col("key"), few, dense)
     stay = groups.select(F.col("first.row").alias("__row")).distinct()
     return rows.join(stay, "__row", "left_semi").select(*names)
