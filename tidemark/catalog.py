@@ -1,11 +1,485 @@
-"""The registered queries of the versioned key-value engine and their SQL."""
+"""The registered queries of the versioned key-value engine, each beside its SQL.
+
+The changelog is a view of ``events``: user ids are keys, event ids versions,
+and errors tombstones.  A few queries run on the like view of ``orders``.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import zorder as Z
+from .operators import compaction, reads, tiers, writes
+from .plans import zfilters
+from .sources.changelog import SCHEMA, events_log, orders_log
+from .sources.store import Store
+from .streaming.ingest import ingest
+
+Query = Callable[[SparkSession, str], DataFrame]
+V, KEY, START, END, FLOOR = 5000, "user:104", "user:1", "user:3", 6000
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Logs, and the spread and hash steps, as common table expressions.
+LOG = """WITH log AS (SELECT 'user:' || CAST(user_id AS VARCHAR) AS key, event_id + 1 AS version,
+  CASE WHEN event_type <> 'error' THEN props END AS value, event_type = 'error' AS deleted FROM events),
+orders_log AS (SELECT 'cust:' || CAST(o_custkey AS VARCHAR) AS key, o_orderkey + 1 AS version,
+  CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS value, o_orderstatus = 'F' AS deleted FROM orders)"""
+NEWEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM {rows}) WHERE rn = 1 AND NOT deleted)"
+_STEPS = [(16, 281470681808895), (8, 71777214294589695), (4, 1085102592571150095), (2, 3689348814741910323), (1, 6148914691236517205)]
+
+
+def _spread_cte(source: str, column: str, out: str) -> str:
+    body = f"SELECT *, CAST({column} AS BIGINT) AS {out} FROM {source}"
+    for shift, mask in _STEPS:
+        body = f"SELECT * REPLACE (({out} | ({out} << {shift})) & {mask} AS {out}) FROM ({body})"
+    return body
+
+
+#: The log with both hashes, and its z by either.
+HASHED = (
+    LOG
+    + """, le4 AS (SELECT *, CAST(ascii(substr(key, 1, 1)) + (ascii(substr(key, 2, 1)) << 8) + (ascii(substr(key, 3, 1)) << 16)
+  + (CAST(ascii(substr(key, 4, 1)) AS BIGINT) << 24) AS BIGINT) AS key_hash FROM log),
+fnv AS (SELECT *, CAST(list_reduce(list_prepend(CAST(2216829733 AS BIGINT), list_transform(range(1, length(key) + 1),
+  lambda i: CAST(ascii(substr(key, CAST(i AS INTEGER), 1)) AS BIGINT))), lambda h, b: (xor(h, b) * 435) & 4294967295) AS BIGINT) AS key_hash FROM log),
+zl AS (SELECT * EXCLUDE (hs, vs), hs | (vs << 1) AS z, LEAST((hs | (vs << 1)) // 4611686018427387903, 3) AS bucket FROM ("""
+    + _spread_cte("(" + _spread_cte("le4", "key_hash", "hs") + ")", "version", "vs")
+    + ")), zf AS (SELECT * EXCLUDE (hs, vs), hs | (vs << 1) AS z, LEAST((hs | (vs << 1)) // 4611686018427387903, 3) AS bucket FROM ("
+    + _spread_cte("(" + _spread_cte("fnv", "key_hash", "hs") + ")", "version", "vs")
+    + "))"
+)
+
+
+def _query(sql: str | None = None, base: str = LOG):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = f"{base}\n{sql}"
+        return f
+
+    return add
+
+
+def newest(version: int | None = None, where: str = "TRUE", log: str = "log") -> str:
+    bound = f"version <= {version} AND" if version is not None else ""
+    return NEWEST.format(rows=f"{log} WHERE {bound} {where}")
+
+
+# Verbs
+
+
+@_query(f"SELECT key, value FROM {newest(500)}")
+def snapshot(s, d):
+    return reads.snapshot(events_log(s, d), 500)
+
+
+@_query(f"SELECT key, value FROM {newest(V)}")
+def snapshot_as_of(s, d):
+    return reads.snapshot(events_log(s, d), V)
+
+
+@_query(f"SELECT key, value FROM {newest()}")
+def snapshot_latest(s, d):
+    return reads.snapshot(events_log(s, d))
+
+
+@_query(f"SELECT key, value FROM {newest(7000, log='orders_log')}")
+def snapshot_orders(s, d):
+    return reads.snapshot(orders_log(s, d), 7000)
+
+
+@_query(f"SELECT key, version, value, deleted FROM {newest(V)}")
+def latest_per_key(s, d):
+    return reads.latest_per_key(events_log(s, d), V)
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, f'''key = '{KEY}' ''')}")
+def get_as_of(s, d):
+    return reads.get_as_of(events_log(s, d), KEY, V)
+
+
+@_query(f"SELECT key, version, value FROM {newest(None, f'''key = '{KEY}' ''')}")
+def get_latest(s, d):
+    return reads.get_latest(events_log(s, d), KEY)
+
+
+_DELETED = "(SELECT key, min(version) AS since FROM log WHERE deleted GROUP BY key ORDER BY since LIMIT 1)"
+
+
+@_query(f"SELECT l.key, l.version FROM log l JOIN {_DELETED} x ON l.key = x.key WHERE l.version = (SELECT max(version) FROM log m JOIN {_DELETED} y ON m.key = y.key WHERE m.version <= y.since) AND NOT l.deleted")
+def get_deleted_as_of(s, d):
+    """A key just deleted is absent at that version."""
+    log = events_log(s, d)
+    first = log.filter("deleted").groupBy("key").agg(F.min("version").alias("at")).orderBy("at").first()
+    if first is None:
+        return log.limit(0).select("key", "version")
+    return reads.get_as_of(log, first["key"], first["at"]).select("key", "version")
+
+
+@_query(f"SELECT key, version, value FROM {NEWEST.format(rows=f'zl WHERE version <= {V} AND key = ' + chr(39) + KEY + chr(39))}", HASHED)
+def get_by_hash(s, d):
+    return reads.get_by_hash(zfilters.with_z(events_log(s, d)), KEY, Z.py_le4(KEY), V)
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, '''key IN (SELECT 'user:' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0)''')}")
+def multi_get(s, d):
+    keys = s.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 3 = 0").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return reads.multi_get(events_log(s, d), keys, V)
+
+
+def _scan(start: str | None, end: str | None) -> str:
+    where = [f"key >= '{start}'"] if start else []
+    where += [f"key < '{end}'"] if end else []
+    return f"SELECT key, value FROM {newest(V, ' AND '.join(where))}"
+
+
+@_query(_scan(START, END))
+def scan_as_of(s, d):
+    return reads.scan_as_of(events_log(s, d), START, END, V)
+
+
+@_query(_scan(None, END))
+def scan_open_start(s, d):
+    return reads.scan_as_of(events_log(s, d), None, END, V)
+
+
+@_query(_scan(START, None))
+def scan_open_end(s, d):
+    return reads.scan_as_of(events_log(s, d), START, None, V)
+
+
+@_query(f"SELECT key, value FROM {newest(V, '''key LIKE 'user:1%' ''')}")
+def prefix_scan(s, d):
+    return reads.prefix_scan(events_log(s, d), "user:1", V)
+
+
+_HISTORY = f"SELECT version, CASE WHEN deleted THEN '' ELSE value END AS value FROM log WHERE key = '{KEY}'"
+
+
+@_query(_HISTORY)
+def history(s, d):
+    return reads.history(events_log(s, d), KEY)
+
+
+@_query(f"{_HISTORY} AND version BETWEEN 100 AND {V}")
+def history_range(s, d):
+    return reads.history(events_log(s, d), KEY, 100, V)
+
+
+@_query(_HISTORY.replace("AS value FROM", "AS value, deleted FROM"))
+def history_with_tombstones(s, d):
+    return reads.history(events_log(s, d), KEY, tombstones=True)
+
+
+@_query("SELECT count(*) AS entries FROM log")
+def entry_count(s, d):
+    return reads.entry_count(events_log(s, d))
+
+
+@_query("SELECT max(version) AS latest FROM log")
+def latest_version(s, d):
+    return reads.latest_version(events_log(s, d))
+
+
+@_query("SELECT max(version) + 1 AS next_version FROM log")
+def next_version(s, d):
+    return reads.next_version(events_log(s, d))
+
+
+@_query(f"SELECT count(*) AS rows FROM ({_scan(START, END)})")
+def scan_count(s, d):
+    return reads.scan_count(events_log(s, d), START, END, V)
+
+
+@_query(f"SELECT count(*) AS rows FROM ({_HISTORY})")
+def history_count(s, d):
+    return reads.history_count(events_log(s, d), KEY)
+
+
+@_query("SELECT count(*) AS entries, count(*) FILTER (deleted) AS tombstones, count(DISTINCT key) AS keys, min(version) AS first_version, max(version) AS latest_version FROM log")
+def stats(s, d):
+    return reads.stats(events_log(s, d))
+
+
+@_query("SELECT version, count(*) AS n FROM log GROUP BY version HAVING count(*) > 1")
+def version_uniqueness(s, d):
+    return reads.version_uniqueness(events_log(s, d))
+
+
+@_query("SELECT key, version, before FROM (SELECT key, version, lag(version) OVER (PARTITION BY key ORDER BY value, version) AS before FROM orders_log) WHERE version <= before")
+def version_order_violations(s, d):
+    """Rows taken in order of value instead of version."""
+    log = orders_log(s, d)
+    return reads.version_order_violations(log.withColumn("arrival", F.struct(F.col("value").isNull(), "value", "version")))
+
+
+@_query("SELECT value, count(*) AS n FROM " + newest(7000, log="orders_log") + " GROUP BY value")
+def value_counts(s, d):
+    return reads.value_counts(orders_log(s, d), 7000)
+
+
+# Z order
+
+
+def _zl(s, d):
+    return zfilters.with_z(events_log(s, d), "le4")
+
+
+def _zf(s, d):
+    return zfilters.with_z(events_log(s, d), "fnv")
+
+
+@_query("SELECT key, version, z FROM zf", HASHED)
+def z_encode(s, d):
+    return _zf(s, d).select("key", "version", "z")
+
+
+@_query("SELECT z, key_hash, version FROM zf", HASHED)
+def z_decode(s, d):
+    return _zf(s, d).select("z", Z.z_key_hash(F.col("z")).alias("key_hash"), Z.z_version(F.col("z")).alias("version"))
+
+
+_BOUNDS = _spread_cte("(SELECT DISTINCT key, key_hash FROM fnv)", "key_hash", "z_min")
+
+
+@_query(f"SELECT key, z_min, z_min | 3074457345618258602 * 1 AS z_max FROM ({_BOUNDS})".replace("3074457345618258602 * 1", str(Z.py_spread(2**31 - 1) << 1)), HASHED)
+def z_key_bounds(s, d):
+    keys = _zf(s, d).select("key", "key_hash").distinct()
+    return keys.select("key", Z.z_least(F.col("key_hash")).alias("z_min"), Z.z_greatest(F.col("key_hash")).alias("z_max"))
+
+
+@_query("SELECT DISTINCT key, key_hash FROM le4", HASHED)
+def key_hash_le4(s, d):
+    return _zl(s, d).select("key", "key_hash").distinct()
+
+
+@_query("SELECT DISTINCT key, key_hash FROM fnv", HASHED)
+def key_hash_fnv_lo(s, d):
+    return _zf(s, d).select("key", "key_hash").distinct()
+
+
+@_query("SELECT key, version, CAST(key_hash & 15 AS INTEGER) AS shard FROM fnv", HASHED)
+def shard_of(s, d):
+    return events_log(s, d).select("key", "version", Z.shard_of(F.col("key")).alias("shard"))
+
+
+@_query("SELECT CAST(key_hash & 15 AS INTEGER) AS shard, count(*) AS rows, count(*) > 600 AS overloaded FROM fnv GROUP BY 1", HASHED)
+def shard_load(s, d):
+    return compaction.shard_load(events_log(s, d).withColumn("shard", Z.shard_of(F.col("key"))), 800)
+
+
+@_query("SELECT count(*) FILTER (n > 600) AS overloaded_shards, count(*) FILTER (n > 600) > 0 AS compact, CASE WHEN count(*) FILTER (n > 600) > 8 THEN 1 ELSE 0 END AS priority FROM (SELECT key_hash & 15 AS shard, count(*) AS n FROM fnv GROUP BY 1)", HASHED)
+def should_compact(s, d):
+    return compaction.should_compact(events_log(s, d).withColumn("shard", Z.shard_of(F.col("key"))), 800)
+
+
+@_query("SELECT key, version, bucket FROM zl", HASHED)
+def z_bucket(s, d):
+    return _zl(s, d).select("key", "version", "bucket")
+
+
+@_query(f"SELECT key, version, z FROM zf WHERE z BETWEEN {1 << 58} AND {1 << 61} AND version <= {V}", HASHED)
+def z_range_scan(s, d):
+    return zfilters.z_range_scan(_zf(s, d), [(1 << 58, 1 << 61)], V).select("key", "version", "z")
+
+
+@_query("SELECT key, version, z FROM zf WHERE z = (SELECT max(z) FROM zf)", HASHED)
+def z_lookup(s, d):
+    log = _zf(s, d)
+    return zfilters.z_lookup(log, log.agg(F.max("z")).first()[0]).select("key", "version", "z")
+
+
+@_query("SELECT key, version, z FROM zf", HASHED)
+def z_sort(s, d):
+    return zfilters.z_sort(_zf(s, d)).select("key", "version", "z")
+
+
+_LITERAL = zfilters.z_ranges("user:1", "user:3", V) or zfilters.z_ranges("user:3", "user:1", V)
+
+
+@_query(f"SELECT key, value FROM {NEWEST.format(rows=f'zf WHERE version <= {V} AND z BETWEEN {_LITERAL[0][0]} AND {_LITERAL[0][1]}')}", HASHED)
+def tier_literal_scan(s, d):
+    """The Z interval between two keys, then the newest row per key: a hash range, not a key range."""
+    return reads.snapshot(zfilters.z_range_scan(_zf(s, d), _LITERAL, V))
+
+
+# Segments, compaction, tiers
+
+
+@_query("SELECT bucket, count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max FROM zf GROUP BY bucket", HASHED)
+def segment_stats(s, d):
+    return compaction.segment_stats(_zf(s, d), "bucket")
+
+
+_SHARDS = "SELECT key_hash & 15 AS shard, count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max FROM zf GROUP BY 1"
+
+
+@_query(f"SELECT * FROM ({_SHARDS}) WHERE NOT (z_max < {1 << 58} OR z_min > {1 << 59})", HASHED)
+def find_segments(s, d):
+    """Segments (here: shards) whose Z range overlaps an interval."""
+    log = _zf(s, d).withColumn("shard", F.col("key_hash").bitwiseAND(F.lit(15).cast("long")))
+    return compaction.segment_stats(log, "shard").filter(~((F.col("z_max") < (1 << 58)) | (F.col("z_min") > (1 << 59))))
+
+
+@_query(
+    """, marked AS (SELECT *, CASE WHEN key_hash IS NOT DISTINCT FROM lag(key_hash) OVER (PARTITION BY bucket ORDER BY z, version) THEN 0 ELSE 1 END AS st FROM zf),
+runs AS (SELECT *, sum(st) OVER (PARTITION BY bucket ORDER BY z, version ROWS UNBOUNDED PRECEDING) AS run FROM marked)
+SELECT key, version, z FROM (SELECT *, row_number() OVER (PARTITION BY bucket, run ORDER BY version DESC) AS rn FROM runs) WHERE rn = 1""",
+    HASHED,
+)
+def compact_adjacent(s, d):
+    return compaction.compact_adjacent(_zf(s, d)).select("key", "version", "z")
+
+
+def _compacted(floor: int) -> str:
+    return f"SELECT key, version, value, deleted FROM log WHERE version > {floor} UNION ALL SELECT key, version, value, deleted FROM {newest(floor)}"
+
+
+@_query(_compacted(FLOOR))
+def compact_latest(s, d):
+    return compaction.compact_latest(events_log(s, d), FLOOR)
+
+
+def _tiers(s, d) -> list[DataFrame]:
+    log = events_log(s, d)
+    return [log.filter(F.col("version") >= 4000), log.filter(F.col("version") < 4000)]
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, f'''key = '{KEY}' ''')}")
+def tier_get(s, d):
+    return tiers.tier_get(_tiers(s, d), KEY, V)
+
+
+@_query(_scan(START, END))
+def tier_scan(s, d):
+    return tiers.tier_scan(_tiers(s, d), START, END, V)
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (version >= 8000) AS hot, count(*) FILTER (version >= 4000 AND version < 8000) AS warm, count(*) FILTER (version < 4000) AS cold FROM log")
+def tier_stats(s, d):
+    return tiers.tier_stats(tiers.assign_tier(events_log(s, d), 8000, 4000))
+
+
+# Writes and transactions
+
+_PUTS = "(SELECT 'user:' || CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS value, c_custkey FROM customer)"
+
+
+def _customers(s, d) -> DataFrame:
+    return s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_mktsegment").alias("value"), "c_custkey")
+
+
+def _base(log: DataFrame) -> int:
+    return reads.latest_version(log).first()[0]
+
+
+@_query(f"SELECT key, version, value, deleted FROM log UNION ALL SELECT key, (SELECT max(version) FROM log) + row_number() OVER (ORDER BY c_custkey), value, FALSE FROM {_PUTS}")
+def put_batch(s, d):
+    log = events_log(s, d)
+    return writes.put_batch(log, _customers(s, d), _base(log), "c_custkey")
+
+
+@_query(f"SELECT key, version, value, deleted FROM log UNION ALL SELECT key, (SELECT max(version) FROM log) + row_number() OVER (ORDER BY c_custkey), NULL, TRUE FROM {_PUTS}")
+def delete_batch(s, d):
+    log = events_log(s, d)
+    return writes.delete_batch(log, _customers(s, d), _base(log), "c_custkey")
+
+
+@_query("SELECT key, version, value, deleted FROM log UNION ALL SELECT key, (SELECT max(version) FROM log) + 1, value, FALSE FROM (SELECT 'user:' || CAST(c_custkey % 50 AS VARCHAR) AS key, c_mktsegment AS value, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS rn FROM customer) WHERE rn = 1")
+def txn_commit(s, d):
+    log = events_log(s, d)
+    puts = s.read.parquet(f"{d}/customer.parquet").select(
+        F.concat(F.lit("user:"), (F.col("c_custkey") % 50).cast("string")).alias("key"), F.col("c_mktsegment").alias("value"), F.col("c_custkey").alias("seq")
+    )
+    return writes.txn_commit(log, puts, _base(log))
+
+
+@_query("SELECT key, version, value, deleted FROM log WHERE NOT (version % 2 = 0 AND key < 'user:5')")
+def txn_remove_if(s, d):
+    return writes.txn_remove_if(events_log(s, d), (F.col("version") % 2 == 0) & (F.col("key") < "user:5"))
+
+
+# Store and stream
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the checkpoint folder, or one of this machine where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+@_query(f"SELECT key, value FROM {newest(V)}")
+def store_snapshot(s, d):
+    """Written to segment files, committed, and read back through the manifest."""
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    return store.snapshot(V)
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, f'''key = '{KEY}' ''')}")
+def store_get(s, d):
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    return store.get(KEY, V)
+
+
+@_query(_compacted(FLOOR))
+def stream_compact(s, d):
+    """Streamed into a store batch by batch, then compacted."""
+    where = _scratch(s)
+    store = Store(s, where)
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    log = stream.select(
+        F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"),
+        (F.col("event_id") + 1).alias("version"),
+        F.when(F.col("event_type") != "error", F.col("props")).alias("value"),
+        (F.col("event_type") == "error").alias("deleted"),
+    )
+    ingest(log, store, f"{where}/checkpoint", availableNow=True).awaitTermination()
+    store.compact(FLOOR)
+    return store.log().select(*SCHEMA.names)
+
+
+# Beyond the verbs
+
+
+@_query(
+    """, probes AS (SELECT c_custkey AS probe_id, 'user:' || CAST(c_custkey % 200 AS VARCHAR) AS key, CAST(c_custkey * 7 % 9000 AS BIGINT) AS "at" FROM customer),
+met AS (SELECT p.probe_id, p.key, p."at", l.version, l.value, l.deleted, row_number() OVER (PARTITION BY p.probe_id ORDER BY l.version DESC) AS rn
+  FROM probes p LEFT JOIN log l ON l.key = p.key AND l.version <= p."at")
+SELECT probe_id, key, "at", CASE WHEN NOT deleted THEN version END AS version, CASE WHEN NOT deleted THEN value END AS value FROM met WHERE rn = 1"""
+)
+def as_of_join(s, d):
+    probes = s.read.parquet(f"{d}/customer.parquet").select(
+        F.col("c_custkey").alias("probe_id"), F.concat(F.lit("user:"), (F.col("c_custkey") % 200).cast("string")).alias("key"), (F.col("c_custkey") * 7 % 9000).cast("long").alias("at")
+    )
+    return reads.as_of_join(probes, events_log(s, d))
+
+
+@_query(
+    f"""SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'changed' END AS change,
+o.value AS old_value, n.value AS new_value FROM {newest(2000)} o FULL JOIN {newest(V)} n ON o.key = n.key WHERE o.key IS NULL OR n.key IS NULL OR o.value IS DISTINCT FROM n.value"""
+)
+def snapshot_diff(s, d):
+    return reads.snapshot_diff(events_log(s, d), 2000, V)
+
+
+@_query(f"SELECT key, version, value, deleted FROM log WHERE version > 2000 AND version <= {V}")
+def change_feed(s, d):
+    return reads.change_feed(events_log(s, d), 2000, V)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
