@@ -430,6 +430,49 @@ def store_get(s, d):
     return store.get(KEY, V)
 
 
+@_query(_scan(START, END))
+def store_scan(s, d):
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    return store.scan(START, END, V)
+
+
+@_query(f"{_HISTORY} AND version BETWEEN 100 AND {V}")
+def store_history(s, d):
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    return store.history(KEY, 100, V)
+
+
+@_query(f"SELECT key, value FROM {newest()} WHERE key NOT IN ('user:1', 'user:2') UNION ALL SELECT 'user:1', 'last'")
+def store_transaction(s, d):
+    """A batch of edits at one version: of a key's edits the last counts."""
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    edits = store.begin_write()
+    edits.insert("user:1", "first")
+    edits.insert("user:1", "last")
+    edits.delete("user:2")
+    edits.commit()
+    return store.snapshot()
+
+
+@_query(_compacted(FLOOR))
+def store_compact(s, d):
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    store.compact(FLOOR)
+    return store.log(tier="cold").select(*SCHEMA.names)
+
+
+@_query("SELECT count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max FROM zf", HASHED)
+def list_segments(s, d):
+    """What the manifest says of all segment files together."""
+    store = Store(s, _scratch(s))
+    store.load(events_log(s, d))
+    return store.list_segments().agg(F.sum("rows").alias("rows"), *[f(c).alias(c) for f, c in ((F.min, "z_min"), (F.max, "z_max"), (F.min, "v_min"), (F.max, "v_max"))])
+
+
 @_query(_compacted(FLOOR))
 def stream_compact(s, d):
     """Streamed into a store batch by batch, then compacted."""

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import zorder as Z
 from ..operators import compaction, reads, writes
 from ..plans import zfilters
 from .changelog import SCHEMA, VERSION_LIMIT, open_log
@@ -157,6 +158,22 @@ class Store:
         found = self.manifest(n).files
         return self.read_segments([f for f in found if tier is None or f["tier"] == tier])
 
+    def list_segments(self, n: int | None = None) -> DataFrame:
+        """A row per segment file: path, tier, rows and the ranges it covers."""
+        schema = "path string, tier string, rows long, z_min long, z_max long, v_min long, v_max long"
+        names = [x.split()[0] for x in schema.split(", ")]
+        return self.spark.createDataFrame([tuple(f[x] for x in names) for f in self.manifest(n).files], schema)
+
+    def shard_load(self, capacity: int) -> DataFrame:
+        """Hot rows by shard, and whether they exceed three quarters of a shard's capacity."""
+        return compaction.shard_load(self.log(tier="hot").withColumn("shard", Z.shard_of(F.col("key"), self.config.shards)), capacity)
+
+    def flush(self) -> int:
+        """A commit is durable when it returns, so there is nothing to flush: the latest version."""
+        return self.latest_version()
+
+    close = flush
+
     # reading
 
     def _pinned(self, version: int | None, n: int | None = None) -> tuple[Manifest, int]:
