@@ -6,8 +6,8 @@ and any other word is an escape code followed by its bytes in a Huffman code of
 bytes.  So the bits' probabilities multiply to a probability of the text.
 
 A bit is predicted in several contexts: its place in the code alone, with the
-word before, with the two before, and with the second one before (bytes: with
-one, two and three bytes before).  A context hashes to a slot that counts zeros
+word before, and with the two before (bytes: with one, two and three bytes
+before).  A context hashes to a slot that counts zeros
 and ones.  The predictions are mixed in the logistic domain; the weights are
 gated by how much the contexts have seen.  An adaptive map corrects the mix by
 what came of earlier predictions like it.
@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -42,11 +42,11 @@ from ._common import small_batches, staged, text_of
 END = b"\n"
 #: Words with codes of their own, and slots (as a power of two) for each context.
 HEAD, TABLE_BITS = 1 << 17, 20
-CONTEXTS, LEVELS, GATES = 4, 4, 32
+CONTEXTS, LEVELS, GATES = 3, 4, 32
 MAP_STEPS, MAP_SETS = 33, 16
 #: Bits of one block of counts, and distinct words that a task holds before handing their counts on.
 BLOCK, HELD_WORDS = 1 << 14, 200_000
-RATE, START = 0.02, (1.0, 0.0, 0.0, 0.0)
+RATE, START = 0.02, (1.0, 0.0, 0.0)
 #: Tokens whose bits are worked on at a time.
 SLICE = 1 << 14
 
@@ -83,6 +83,42 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(first, dtype=np.int64), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
 
 
+class Code:
+    """Codes of words or bytes, with what a bit's contexts need worked out for each place."""
+
+    def __init__(self, weights: list[int], kind: int, table_bits: int) -> None:
+        self.first, nodes, self.bits = huffman(weights)
+        self.sizes = np.diff(self.first)
+        depth = np.arange(len(nodes)) - np.repeat(self.first[:-1], self.sizes)
+        self.sets = (np.minimum(depth, 7) + 8 * kind).astype(np.uint8)
+        self.base = (nodes + np.uint32(1)) * _ODD[0] + np.uint32(kind * 0x51ED27)
+        self.shift = np.uint32(32 - table_bits)
+        self.alone = self._slot(self.base * _ODD[1])
+
+    def _slot(self, mixed: np.ndarray) -> np.ndarray:
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _ODD[2]
+        mixed >>= self.shift
+        return mixed.astype(np.int64)
+
+    def spread(self, symbols: np.ndarray, contexts: list[np.ndarray | None]):
+        """Slots (a row for each context), bits, gate sets, and where each symbol's bits begin."""
+        sizes = self.sizes[symbols]
+        starts = np.cumsum(sizes) - sizes
+        place = np.repeat(self.first[symbols] - starts, sizes)
+        place += np.arange(len(place))
+        base, slots = self.base.take(place), []
+        for context in contexts:
+            if context is None:
+                slots.append(self.alone.take(place))
+            else:
+                mixed = np.repeat(context, sizes)
+                mixed ^= base
+                mixed *= _ODD[1]
+                slots.append(self._slot(mixed))
+        return slots, self.bits.take(place), self.sets.take(place), starts
+
+
 @dataclass
 class Codes:
     """Words with codes: numbers by word, counts, and the codes of words and bytes."""
@@ -90,8 +126,8 @@ class Codes:
     head: dict[bytes, int]
     counts: np.ndarray
     table_bits: int
-    words: tuple = field(default=None)
-    letters: tuple = field(default=None)
+    words: Code
+    letters: Code
 
     @classmethod
     def build(cls, head: list[tuple[bytes, int]], total: int, table_bits: int) -> Codes:
@@ -104,8 +140,8 @@ class Codes:
             {w: k for k, (w, _) in enumerate(ordered)},
             np.array(counts, dtype=np.int64),
             table_bits,
-            huffman([*counts, max(1, total - sum(counts))]),
-            huffman([letters[b] + 1 for b in range(256)]),
+            Code([*counts, max(1, total - sum(counts))], 0, table_bits),
+            Code([letters[b] + 1 for b in range(256)], 1, table_bits),
         )
 
     @property
@@ -135,55 +171,31 @@ class Texts:
         return cls(numbers, np.repeat(np.arange(len(texts)), lengths), lengths, tail)
 
 
-def _spread(first: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For symbols' codes end to end: index of the symbol, position in the code list, depth."""
-    sizes = first[symbols + 1] - first[symbols]
-    index = np.repeat(np.arange(len(symbols)), sizes)
-    depth = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return index, np.repeat(first[symbols], sizes) + depth, depth
-
-
-def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """In slices: slots (a row for each context), bits, gate set (depth and kind), owner."""
-    shift = np.uint32(32 - codes.table_bits)
+def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
+    """In slices: slots, bits, gate sets, where each symbol begins, and the symbols' owners."""
     numbers = texts.numbers.astype(np.uint32) + np.uint32(1)
     begins = np.concatenate(([True], texts.owner[1:] != texts.owner[:-1])) if len(numbers) else np.zeros(0, dtype=bool)
     before = np.concatenate((np.zeros(1, dtype=np.uint32), numbers[:-1]))
     before[begins] = 0
     second = np.concatenate((np.zeros(1, dtype=np.uint32), before[:-1]))
     second[begins] = 0
-
-    def hashed(first, nodes, bits, symbols, contexts, owner, kind):
-        index, place, depth = _spread(first, symbols)
-        base = (nodes[place] + np.uint32(1)) * _ODD[0] + np.uint32(kind * 0x51ED27)
-        slots = np.empty((CONTEXTS, len(index)), dtype=np.int64)
-        for k, context in enumerate(contexts):
-            mixed = base if context is None else (base ^ context[index]) * _ODD[1]
-            mixed = (mixed ^ (mixed >> np.uint32(15))) * _ODD[2]
-            slots[k] = mixed >> shift
-        return slots, bits[place], np.minimum(depth, 7) + 8 * kind, owner[index]
-
-    first, nodes, bits = codes.words
     for k in range(0, len(numbers), SLICE):
         own = slice(k, k + SLICE)
-        one, two = before[own], second[own]
-        contexts = (None, one * _ODD[3], (one * _ODD[3] + np.uint32(7)) ^ (two * _ODD[4]), two * _ODD[1] + np.uint32(3))
-        yield hashed(first, nodes, bits, texts.numbers[own], contexts, texts.owner[own], 0)
+        one = before[own] * _ODD[3]
+        contexts = [None, one, (one + np.uint32(7)) ^ (second[own] * _ODD[4])]
+        yield *codes.words.spread(texts.numbers[own], contexts), texts.owner[own]
     if texts.tail:
-        first, nodes, bits = codes.letters
         spelled = np.frombuffer(END.join(texts.tail) + END, dtype=np.uint8)
         sizes = np.fromiter(map(len, texts.tail), dtype=np.int64, count=len(texts.tail)) + 1
         owner = np.repeat(texts.owner[texts.numbers == codes.escape], sizes)
-        past = []
-        for k in range(1, 4):
-            past.append(np.concatenate((np.full(k, 10, dtype=np.uint32), spelled[:-k].astype(np.uint32)))[: len(spelled)])
+        past = [np.concatenate((np.full(k, 10, dtype=np.uint32), spelled[:-k].astype(np.uint32)))[: len(spelled)] for k in (1, 2, 3)]
         past[1][past[0] == 10] = 10
         past[2][past[1] == 10] = 10
         for k in range(0, len(spelled), 2 * SLICE):
             own = slice(k, k + 2 * SLICE)
             a, b, c = (x[own] for x in past)
-            contexts = (a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1], None)
-            yield hashed(first, nodes, bits, spelled[own].astype(np.int64), contexts, owner[own], 1)
+            contexts = [a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1]]
+            yield *codes.letters.spread(spelled[own].astype(np.int64), contexts), owner[own]
 
 
 @dataclass
@@ -210,7 +222,7 @@ def evidence(total: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def first_weights() -> np.ndarray:
     """The code's place alone for words, two bytes before for spelling."""
     weights = np.repeat(np.array(START, dtype=np.float32)[:, None], GATES, axis=1)
-    weights[:, GATES // 2 :] = np.array([[0.3], [0.5], [0.2], [0.0]], dtype=np.float32)
+    weights[:, GATES // 2 :] = np.array([[0.3], [0.5], [0.2]], dtype=np.float32)
     return weights
 
 
@@ -220,28 +232,43 @@ def _steps() -> np.ndarray:
 
 def mixed(slots, sets, stretched, level, weights):
     """Inputs, gates and the mix, in the logistic domain."""
-    inputs = np.empty((CONTEXTS, slots.shape[1]), dtype=np.float32)
-    for k in range(CONTEXTS):
-        inputs[k] = stretched[k][slots[k]]
-    gates = level[1][slots[1]] + LEVELS * level[2][slots[2]] + 16 * (sets >= 8)
-    mix = np.zeros(slots.shape[1], dtype=np.float32)
-    for k in range(CONTEXTS):
-        mix += weights[k][gates] * inputs[k]
+    inputs = [stretched[k].take(slots[k], mode="clip") for k in range(CONTEXTS)]
+    gates = level[2].take(slots[2], mode="clip") * np.uint8(LEVELS)
+    gates += level[1].take(slots[1], mode="clip")
+    gates += np.uint8(16) * (sets >= 8)
+    gates = gates.astype(np.int64)
+    mix = weights[0].take(gates, mode="clip") * inputs[0]
+    for k in range(1, CONTEXTS):
+        mix += weights[k].take(gates, mode="clip") * inputs[k]
     return inputs, gates, np.clip(mix, -12, 12, out=mix)
 
 
 def _cell(mix, sets):
-    return sets * MAP_STEPS + np.clip(np.rint((mix + 8) * ((MAP_STEPS - 1) / 16)), 0, MAP_STEPS - 1).astype(np.int64)
+    at = mix * np.float32((MAP_STEPS - 1) / 16)
+    at += np.float32((MAP_STEPS - 1) / 2 + 0.5)
+    np.clip(at, 0, MAP_STEPS - 1, out=at)
+    return at.astype(np.int64) + sets.astype(np.int64) * MAP_STEPS
+
+
+def _chance(mix):
+    p = np.exp(-mix)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 def costs(texts: Texts, codes: Codes, model: Model) -> np.ndarray:
     """Bits of each text."""
     out = np.zeros(len(texts.lengths))
     refined = model.refined.ravel()
-    for slots, bits, sets, owner in bits_of(texts, codes):
+    for slots, bits, sets, starts, owner in bits_of(texts, codes):
         _, _, mix = mixed(slots, sets, model.stretched, model.level, model.weights)
-        p = (1 / (1 + np.exp(-mix)) + refined[_cell(mix, sets)]) * np.float32(0.5)
-        out += np.bincount(owner, weights=-np.log2(np.where(bits == 1, p, 1 - p)), minlength=len(out))
+        p = _chance(mix)
+        p += refined.take(_cell(mix, sets), mode="clip")
+        p *= np.float32(0.5)
+        # the chance of the bit that came: p for one, 1 - p for zero
+        np.subtract(1, p, out=p, where=bits == 0)
+        np.log2(p, out=p)
+        out -= np.bincount(owner, weights=np.add.reduceat(p, starts, dtype=np.float64), minlength=len(out))
     return out
 
 
@@ -251,40 +278,51 @@ class Learner:
     def __init__(self, codes: Codes) -> None:
         size = 1 << codes.table_bits
         self.codes = codes
-        self.total, self.ones = np.zeros((CONTEXTS, size), dtype=np.float32), np.zeros((CONTEXTS, size), dtype=np.float32)
+        self.counts = np.zeros((CONTEXTS, 2 * size), dtype=np.int64)
         self.weights = first_weights()
         self.weighed = np.zeros(GATES)
         self.seen, self.came = np.zeros(MAP_SETS * MAP_STEPS), np.zeros(MAP_SETS * MAP_STEPS)
+        self.bits = self.known = 0
+        self.stretched, self.level = evidence(*self._tables())
+
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Totals and ones of all slots."""
+        pairs = self.counts.reshape(CONTEXTS, -1, 2)
+        return (pairs[:, :, 0] + pairs[:, :, 1]).astype(np.float32), pairs[:, :, 1].astype(np.float32)
 
     def learn(self, texts: Texts) -> None:
-        stretched, level = evidence(self.total, self.ones)
-        total, ones = np.zeros(self.total.shape), np.zeros(self.ones.shape)
-        size = total.shape[1]
-        for slots, bits, sets, _ in bits_of(texts, self.codes):
-            inputs, gates, mix = mixed(slots, sets, stretched, level, self.weights)
-            error = bits - 1 / (1 + np.exp(-mix))
+        if self.bits > 1.2 * self.known:  # predictions follow the counts at a fifth more bits each time
+            self.stretched, self.level = evidence(*self._tables())
+            self.known = self.bits
+        met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        for slots, bits, sets, _, _ in bits_of(texts, self.codes):
+            inputs, gates, mix = mixed(slots, sets, self.stretched, self.level, self.weights)
+            error = bits - _chance(mix)
             hits = np.bincount(gates, minlength=GATES)
+            rate = RATE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
             for k in range(CONTEXTS):
-                step = np.bincount(gates, weights=error * inputs[k], minlength=GATES) / np.maximum(hits, 1)
-                self.weights[k] += RATE * np.sqrt(np.minimum(hits, 400)) * step
+                inputs[k] *= error
+                self.weights[k] += rate * np.bincount(gates, weights=inputs[k], minlength=GATES)
             self.weighed += hits
             cell = _cell(mix, sets)
             self.seen += np.bincount(cell, minlength=len(self.seen))
-            one = bits == 1
-            self.came += np.bincount(cell[one], minlength=len(self.seen))
+            self.came += np.bincount(cell, weights=bits, minlength=len(self.seen))
+            self.bits += len(bits)
             for k in range(CONTEXTS):
-                total[k] += np.bincount(slots[k], minlength=size)
-                ones[k] += np.bincount(slots[k][one], minlength=size)
-        self.total += total
-        self.ones += ones
+                both = slots[k]
+                both *= 2
+                both += bits
+                met[k].append(both)
+        for k in range(CONTEXTS):
+            self.counts[k] += np.bincount(np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64), minlength=self.counts.shape[1])
 
     def rows(self) -> Iterator[tuple[int, np.ndarray]]:
         """Blocks to be added up: key, numbers."""
         yield -1, np.concatenate(((self.weights * self.weighed).ravel(), self.weighed))
         yield -2, np.concatenate((self.seen, self.came))
-        both = np.concatenate((self.total.ravel(), self.ones.ravel()))
-        for key, k in enumerate(range(0, len(both), BLOCK)):
-            part = both[k : k + BLOCK]
+        flat = self.counts.ravel()
+        for key, k in enumerate(range(0, len(flat), BLOCK)):
+            part = flat[k : k + BLOCK]
             if part.any():
                 yield key, part.astype(np.float64)
 
@@ -383,9 +421,9 @@ def train(training: DataFrame, codes: Codes) -> Model:
             seen = values
         else:
             both[key * BLOCK : key * BLOCK + len(values)] = values
-    tables = both.reshape(2, CONTEXTS, -1)
+    tables = both.reshape(CONTEXTS, -1, 2)
     seen = seen.reshape(2, MAP_SETS, MAP_STEPS)
-    return Model.of(tables[0], tables[1], weights, seen[0], seen[1])
+    return Model.of(tables[:, :, 0] + tables[:, :, 1], np.ascontiguousarray(tables[:, :, 1]), weights, seen[0], seen[1])
 
 
 def _score(shared):
