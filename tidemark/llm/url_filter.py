@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import small_batches
+from ._common import bounded_sample, small_batches
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -178,7 +178,7 @@ def _scorer(shared, schema: pa.Schema):
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, tuple[dict, dict, dict]]:
     """Trees and suffix tables from (url, host, path, blocked), on at most ``sample`` rows."""
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(sample).select("url", "host", "path", F.col("blocked").cast("int")).collect()
+    rows = bounded_sample(labelled, sample, "url").select("url", "host", "path", F.col("blocked").cast("int")).collect()
     y = np.array([r[3] for r in rows], dtype=np.float64)
     odds = suffix_odds([(r[1], r[2]) for r in rows], y)
     x = np.array([features(r[0], r[1], r[2], odds) for r in rows], dtype=np.float64).reshape(len(rows), 16)
