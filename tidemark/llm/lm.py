@@ -41,14 +41,18 @@ from ._common import small_batches, staged, text_of
 
 END = b"\n"
 #: Words with codes of their own, and slots (as a power of two) for each context.
-HEAD, TABLE_BITS = 1 << 17, 20
+HEAD, TABLE_BITS = 1 << 18, 20
 CONTEXTS, LEVELS, GATES = 3, 4, 32
 MAP_STEPS, MAP_SETS = 33, 16
+#: Steps of a prediction, and tasks whose counts are first added up together.
+SCALE, TOGETHER = 256, 64
 #: Bits of one block of counts, and distinct words that a task holds before handing their counts on.
-BLOCK, HELD_WORDS = 1 << 14, 200_000
+BLOCK, HELD_WORDS = 1 << 14, 500_000
 RATE, START = 0.02, (1.0, 0.0, 0.0)
 #: Tokens whose bits are worked on at a time.
 SLICE = 1 << 14
+#: Tokens of a task's first step of learning.
+FIRST_STEP = 8000
 
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 
@@ -87,14 +91,26 @@ class Code:
     """Codes of words or bytes, with what a bit's contexts need worked out for each place."""
 
     def __init__(self, weights: list[int], kind: int, table_bits: int) -> None:
-        self.first, nodes, self.bits = huffman(weights)
-        self.sizes = np.diff(self.first)
-        depth = np.arange(len(nodes)) - np.repeat(self.first[:-1], self.sizes)
+        self._set(*huffman(weights), kind, table_bits)
+
+    def _set(self, first: np.ndarray, nodes: np.ndarray, bits: np.ndarray, kind: int, table_bits: int) -> None:
+        self.first, self.nodes, self.bits, self.kind, self.table_bits = first, nodes, bits, kind, table_bits
+        self.sizes = np.diff(first)
+        depth = np.arange(len(nodes)) - np.repeat(first[:-1], self.sizes)
         self.sets = (np.minimum(depth, 7) + 8 * kind).astype(np.uint8)
         self.base = (nodes + np.uint32(1)) * _ODD[0] + np.uint32(kind * 0x51ED27)
         self.shift = np.uint32(32 - table_bits)
         self.alone = self._slot(self.base * _ODD[1])
 
+    def __getstate__(self):
+        """What cannot be worked out again, so that broadcasts stay small."""
+        return self.sizes.astype(np.uint8), self.nodes, np.packbits(self.bits), self.kind, self.table_bits
+
+    def __setstate__(self, state) -> None:
+        sizes, nodes, bits, kind, table_bits = state
+        first = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        self._set(first, nodes, np.unpackbits(bits, count=len(nodes)), kind, table_bits)
+
     def _slot(self, mixed: np.ndarray) -> np.ndarray:
         mixed ^= mixed >> np.uint32(15)
         mixed *= _ODD[2]
@@ -130,9 +146,9 @@ class Codes:
     letters: Code
 
     @classmethod
-    def build(cls, head: list[tuple[bytes, int]], total: int, table_bits: int) -> Codes:
-        known = dict(head)
-        known.setdefault(END, 0)
+    def build(cls, head: list[tuple[bytes, int]], total: int, table_bits: int, ends: int) -> Codes:
+        """From the frequent words' counts, that of all words, and that of the end, which always has a code."""
+        known = dict(head) | {END: ends}
         ordered = sorted(known.items(), key=lambda x: (-x[1], x[0]))
         counts = [c for _, c in ordered]
         letters = Counter(b for w, _ in ordered for b in w + END)
@@ -200,23 +216,23 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
 
 @dataclass
 class Model:
-    """What scoring needs: a stretched probability and a level of evidence for each slot, weights, map."""
+    """What scoring needs: each slot's prediction and evidence, weights, map."""
 
-    stretched: np.ndarray
-    level: np.ndarray
+    slots: np.ndarray
     weights: np.ndarray
     refined: np.ndarray
 
     @classmethod
     def of(cls, total: np.ndarray, ones: np.ndarray, weights: np.ndarray, seen: np.ndarray, came: np.ndarray) -> Model:
         centre = 1 / (1 + np.exp(-_steps()))
-        return cls(*evidence(total, ones), weights.astype(np.float32), ((came + 8 * centre) / (seen + 8)).astype(np.float32))
+        return cls(evidence(total, ones), weights.astype(np.float32), ((came + 8 * centre) / (seen + 8)).astype(np.float32))
 
 
-def evidence(total: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def evidence(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """By slot, in one number: the prediction in the logistic domain, in steps of 1/256, and two bits of how much was seen."""
     stretched = np.log((ones + np.float32(0.4)) / (total - ones + np.float32(0.4)), dtype=np.float32)
-    level = (total > 0).astype(np.uint8) + (total > 2) + (total > 15)
-    return stretched, level.astype(np.uint8)
+    level = (total > 0).astype(np.int16) + (total > 2) + (total > 15)
+    return (np.rint(np.clip(stretched, -30, 30) * SCALE).astype(np.int16) << 2) | level.astype(np.int16)
 
 
 def first_weights() -> np.ndarray:
@@ -230,16 +246,20 @@ def _steps() -> np.ndarray:
     return np.linspace(-8, 8, MAP_STEPS)
 
 
-def mixed(slots, sets, stretched, level, weights):
-    """Inputs, gates and the mix, in the logistic domain."""
-    inputs = [stretched[k].take(slots[k], mode="clip") for k in range(CONTEXTS)]
-    gates = level[2].take(slots[2], mode="clip") * np.uint8(LEVELS)
-    gates += level[1].take(slots[1], mode="clip")
-    gates += np.uint8(16) * (sets >= 8)
+def mixed(slots, sets, known, weights):
+    """Inputs (in steps of 1/256), gates and the mix, in the logistic domain."""
+    seen = [known[k].take(slots[k], mode="clip") for k in range(CONTEXTS)]
+    gates = (seen[2] & 3) << 2
+    gates |= seen[1] & 3
+    gates |= (sets & 8).astype(np.int16) << 1
     gates = gates.astype(np.int64)
-    mix = weights[0].take(gates, mode="clip") * inputs[0]
-    for k in range(1, CONTEXTS):
-        mix += weights[k].take(gates, mode="clip") * inputs[k]
+    inputs, mix = [], None
+    for k in range(CONTEXTS):
+        seen[k] >>= 2
+        inputs.append(seen[k].astype(np.float32))
+        part = (weights[k] * np.float32(1 / SCALE)).take(gates, mode="clip")
+        part *= inputs[k]
+        mix = part if mix is None else np.add(mix, part, out=mix)
     return inputs, gates, np.clip(mix, -12, 12, out=mix)
 
 
@@ -261,7 +281,7 @@ def costs(texts: Texts, codes: Codes, model: Model) -> np.ndarray:
     out = np.zeros(len(texts.lengths))
     refined = model.refined.ravel()
     for slots, bits, sets, starts, owner in bits_of(texts, codes):
-        _, _, mix = mixed(slots, sets, model.stretched, model.level, model.weights)
+        _, _, mix = mixed(slots, sets, model.slots, model.weights)
         p = _chance(mix)
         p += refined.take(_cell(mix, sets), mode="clip")
         p *= np.float32(0.5)
@@ -282,31 +302,47 @@ class Learner:
         self.weights = first_weights()
         self.weighed = np.zeros(GATES)
         self.seen, self.came = np.zeros(MAP_SETS * MAP_STEPS), np.zeros(MAP_SETS * MAP_STEPS)
-        self.bits = self.known = 0
-        self.stretched, self.level = evidence(*self._tables())
+        self.bits = self.known = self.tokens = 0
+        self.evident = evidence(*self._tables())
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
         """Totals and ones of all slots."""
         pairs = self.counts.reshape(CONTEXTS, -1, 2)
         return (pairs[:, :, 0] + pairs[:, :, 1]).astype(np.float32), pairs[:, :, 1].astype(np.float32)
 
+    def learn_all(self, texts: list[str]) -> None:
+        """Learn in steps of half of what has been seen, so that a short partition teaches too."""
+        start = 0
+        while start < len(texts):
+            stop, room = start, max(FIRST_STEP, self.tokens // 2)
+            while stop < len(texts) and room > 0:
+                room -= len(texts[stop]) // 6 + 1
+                stop += 1
+            step = Texts.of(texts[start:stop], self.codes)
+            self.learn(step)
+            self.tokens += len(step.numbers)
+            start = stop
+
     def learn(self, texts: Texts) -> None:
-        if self.bits > 1.2 * self.known:  # predictions follow the counts at a fifth more bits each time
-            self.stretched, self.level = evidence(*self._tables())
+        if self.bits > 2 * self.known:  # predictions follow the counts as these grow
+            self.evident = evidence(*self._tables())
             self.known = self.bits
         met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         for slots, bits, sets, _, _ in bits_of(texts, self.codes):
-            inputs, gates, mix = mixed(slots, sets, self.stretched, self.level, self.weights)
+            inputs, gates, mix = mixed(slots, sets, self.evident, self.weights)
             error = bits - _chance(mix)
             hits = np.bincount(gates, minlength=GATES)
-            rate = RATE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
+            rate = RATE / SCALE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
             for k in range(CONTEXTS):
                 inputs[k] *= error
                 self.weights[k] += rate * np.bincount(gates, weights=inputs[k], minlength=GATES)
             self.weighed += hits
             cell = _cell(mix, sets)
-            self.seen += np.bincount(cell, minlength=len(self.seen))
-            self.came += np.bincount(cell, weights=bits, minlength=len(self.seen))
+            cell *= 2
+            cell += bits
+            either = np.bincount(cell, minlength=2 * len(self.seen)).reshape(-1, 2)
+            self.seen += either.sum(axis=1)
+            self.came += either[:, 1]
             self.bits += len(bits)
             for k in range(CONTEXTS):
                 both = slots[k]
@@ -388,9 +424,9 @@ def _learn(shared):
         learner = None
         for batch in batches:
             learner = learner or Learner(shared.value)
-            learner.learn(Texts.of(batch.column(0).to_pylist(), shared.value))
+            learner.learn_all(batch.column(0).to_pylist())
         at = TaskContext.get()
-        salt = (at.partitionId() if at else 0) % 32
+        salt = (at.partitionId() if at else 0) // TOGETHER
         for key, values in learner.rows() if learner else ():
             yield pa.record_batch([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(values)], pa.binary())], names=["key", "salt", "data"])
 
@@ -404,8 +440,8 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"][:1], "salt": rows["salt"][:1], "data": [_pack(total)]})
 
 
-def train(training: DataFrame, codes: Codes) -> Model:
-    shared = training.sparkSession.sparkContext.broadcast(codes)
+def train(training: DataFrame, codes: Codes, shared) -> Model:
+    """A model from all training texts; ``shared`` is the broadcast of the codes."""
     shape = "key int, salt int, data binary"
     added = training.select("text").mapInArrow(_learn(shared), shape).groupBy("key", "salt").applyInPandas(_add, shape)
     added = added.groupBy("key").applyInPandas(_add, shape)
@@ -426,9 +462,9 @@ def train(training: DataFrame, codes: Codes) -> Model:
     return Model.of(tables[:, :, 0] + tables[:, :, 1], np.ascontiguousarray(tables[:, :, 1]), weights, seen[0], seen[1])
 
 
-def _score(shared):
+def _score(shared, learned):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, model = shared.value
+        codes, model = shared.value, learned.value
         logs, known = np.append(np.log10(codes.counts + 1.0), 0.0), np.append(codes.counts > 0, False)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
@@ -482,9 +518,10 @@ def score(
     counts = word_counts(training)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = min(table_bits, max(14, int(total * 4).bit_length()))
-    codes = Codes.build(_head(counts, head), total, bits)
-    model = train(training, codes)
-    shared = spark.sparkContext.broadcast((codes, model))
+    ends = counts.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    codes = Codes.build(_head(counts, head), total, bits, ends)
+    shared = spark.sparkContext.broadcast(codes)
+    model = spark.sparkContext.broadcast(train(training, codes, shared))
     schema = T.StructType(
         [documents.schema[c] for c in carry]
         + [T.StructField("held_out", T.BooleanType()), T.StructField("row", T.LongType())]
@@ -493,7 +530,7 @@ def score(
         + [T.StructField("bytes", T.LongType()), T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
     )
     numbered = rows.select(*carry, "held_out", F.monotonically_increasing_id().alias("row"), "text")
-    scored = staged(numbered.mapInArrow(_score(shared), schema), "lm-scored")
+    scored = staged(numbered.mapInArrow(_score(shared, model), schema), "lm-scored")
     # words without codes: their counts come by a join; none of them is frequent
     tails = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
     met = tails.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
