@@ -23,6 +23,7 @@ codes, ``2**TABLE_BITS`` slots for each context; it is what scoring broadcasts.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -74,7 +75,7 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         side[y] = 1
         heapq.heappush(heap, (a + b, top))
         top += 1
-    root, first, nodes, bits = top - 1, [0], [], []
+    root, first, nodes, bits = top - 1, [0], array("I"), bytearray()
     for k in range(n):
         path = []
         while k != root:
@@ -84,7 +85,7 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             nodes.append(node)
             bits.append(bit)
         first.append(len(nodes))
-    return np.array(first, dtype=np.int64), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
+    return np.array(first, dtype=np.int64), np.array(nodes, dtype=np.uint32), np.frombuffer(bits, dtype=np.uint8).copy()
 
 
 class Code:
