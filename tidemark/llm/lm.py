@@ -6,8 +6,10 @@ and any other word is an escape code followed by its bytes in a Huffman code of
 bytes.  So the bits' probabilities multiply to a probability of the text.
 
 A bit is predicted in several contexts: its place in the code alone, with the
-word before, and with the two before (bytes: with one, two and three bytes
-before).  A context hashes to a slot that counts zeros
+A bit is predicted in several contexts: its place in the code alone, with the
+word before, with the two before, and with the second one before (bytes: with
+one, two and three bytes before, and alone).  A context hashes to a slot that
+counts zeros and ones.  A context hashes to a slot that counts zeros
 and ones.  The predictions are mixed in the logistic domain; the weights are
 gated by how much the contexts have seen.  An adaptive map corrects the mix by
 what came of earlier predictions like it.
@@ -43,13 +45,13 @@ from ._common import small_batches, staged, text_of
 END = b"\n"
 #: Words with codes of their own, and slots (as a power of two) for each context.
 HEAD, TABLE_BITS = 1 << 18, 20
-CONTEXTS, LEVELS, GATES = 3, 4, 32
+CONTEXTS, LEVELS, GATES = 4, 4, 32
 MAP_STEPS, MAP_SETS = 33, 16
 #: Steps of a prediction, and tasks whose counts are first added up together.
 SCALE, TOGETHER = 256, 64
 #: Bits of one block of counts, and distinct words that a task holds before handing their counts on.
 BLOCK, HELD_WORDS = 1 << 14, 500_000
-RATE, START = 0.02, (1.0, 0.0, 0.0)
+RATE, START = 0.02, (1.0, 0.0, 0.0, 0.0)
 #: Tokens whose bits are worked on at a time.
 SLICE = 1 << 14
 #: Tokens of a task's first step of learning.
@@ -199,7 +201,7 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
     for k in range(0, len(numbers), SLICE):
         own = slice(k, k + SLICE)
         one = before[own] * _ODD[3]
-        contexts = [None, one, (one + np.uint32(7)) ^ (second[own] * _ODD[4])]
+        contexts = [None, one, (one + np.uint32(7)) ^ (second[own] * _ODD[4]), second[own] * _ODD[1] + np.uint32(3)]
         yield *codes.words.spread(texts.numbers[own], contexts), texts.owner[own]
     if texts.tail:
         spelled = np.frombuffer(END.join(texts.tail) + END, dtype=np.uint8)
@@ -211,7 +213,7 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
         for k in range(0, len(spelled), 2 * SLICE):
             own = slice(k, k + 2 * SLICE)
             a, b, c = (x[own] for x in past)
-            contexts = [a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1]]
+            contexts = [a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1], None]
             yield *codes.letters.spread(spelled[own].astype(np.int64), contexts), owner[own]
 
 
@@ -239,7 +241,7 @@ def evidence(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def first_weights() -> np.ndarray:
     """The code's place alone for words, two bytes before for spelling."""
     weights = np.repeat(np.array(START, dtype=np.float32)[:, None], GATES, axis=1)
-    weights[:, GATES // 2 :] = np.array([[0.3], [0.5], [0.2]], dtype=np.float32)
+    weights[:, GATES // 2 :] = np.array([[0.3], [0.5], [0.2], [0.0]], dtype=np.float32)
     return weights
 
 
@@ -303,7 +305,7 @@ class Learner:
         self.weights = first_weights()
         self.weighed = np.zeros(GATES)
         self.seen, self.came = np.zeros(MAP_SETS * MAP_STEPS), np.zeros(MAP_SETS * MAP_STEPS)
-        self.bits = self.known = self.tokens = 0
+        self.bits = self.tokens = 0
         self.evident = evidence(*self._tables())
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -325,9 +327,6 @@ class Learner:
             start = stop
 
     def learn(self, texts: Texts) -> None:
-        if self.bits > 2 * self.known:  # predictions follow the counts as these grow
-            self.evident = evidence(*self._tables())
-            self.known = self.bits
         met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         for slots, bits, sets, _, _ in bits_of(texts, self.codes):
             inputs, gates, mix = mixed(slots, sets, self.evident, self.weights)
@@ -351,7 +350,12 @@ class Learner:
                 both += bits
                 met[k].append(both)
         for k in range(CONTEXTS):
-            self.counts[k] += np.bincount(np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64), minlength=self.counts.shape[1])
+            fresh = np.bincount(np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64), minlength=self.counts.shape[1])
+            self.counts[k] += fresh
+            # predictions follow the counts at once, in the slots that were met
+            at = np.flatnonzero(fresh.reshape(-1, 2).any(axis=1))
+            pairs = self.counts[k].reshape(-1, 2)[at].astype(np.float32)
+            self.evident[k][at] = evidence(pairs.sum(axis=1), pairs[:, 1])
 
     def rows(self) -> Iterator[tuple[int, np.ndarray]]:
         """Blocks to be added up: key, numbers."""
