@@ -11,9 +11,9 @@ across grades are screened out by a two-proportion z statistic.
 Where labels only say toxic or not, the toxic ones get grade 1 or, with more of
 the kept features than the median toxic document has, grade 2 (``by_extent``).
 
-The fit uses a
-sample of at most ``SAMPLE`` labelled documents, chosen by a hash of the id, for
-counts and for weights; scoring covers every document.
+Features are counted and screened over all labelled documents, and as many are
+kept as pass.  Only the weights are fitted on a sample of at most ``SAMPLE``
+labelled documents, chosen by a hash of the id; scoring covers every document.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._common import small_batches, staged, text_of
 
-#: Labelled documents that the model is fitted on, at most, and features kept.
-SAMPLE, FEATURES = 20_000, 512
+#: Labelled documents that the weights are fitted on, at most.
+SAMPLE = 20_000
 LEAST_Z, LEAST_DOCS = 6.0, 5
 #: A document is called toxic from this probability of any grade above 0.
 TOXIC_FROM = 0.35
@@ -58,12 +58,13 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(at: np.ndarray, of: np.ndarray, width: int, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by likelihood with a ridge (Adam steps).
 
+    Row ``at[i]`` has feature ``of[i]``; all else is absent.
     Grades nobody has leave a threshold at an end: it stays where a pseudo-count puts it.
     """
-    n, width = x.shape
+    n = len(grades)
     above = np.array([(np.sum(grades > k) + 0.5) / (n + 1.0) for k in range(levels - 1)])
     cuts = np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(levels - 1))
     gaps = np.log(np.maximum(np.diff(cuts), 1e-3))
@@ -71,7 +72,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndar
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
         w, t = theta[:width], theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
-        s = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - t[None, :], -30, 30)))
+        s = 1 / (1 + np.exp(-np.clip(np.bincount(at, weights=w[of], minlength=n)[:, None] - t[None, :], -30, 30)))
         full = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), axis=1)
         slope = np.concatenate((np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))), axis=1)
         rows = np.arange(n)
@@ -84,7 +85,7 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndar
         by_cut = by_cut[:, 1:-1]
         g_t = by_cut.sum(axis=0) / n
         gradient = np.concatenate(
-            (-(x.T @ by_cut.sum(axis=1)) / n + RIDGE * w, [g_t.sum()], [np.exp(theta[width + 1 + k]) * g_t[k + 1 :].sum() for k in range(levels - 2)])
+            (-np.bincount(of, weights=by_cut.sum(axis=1)[at], minlength=width) / n + RIDGE * w, [g_t.sum()], [np.exp(theta[width + 1 + k]) * g_t[k + 1 :].sum() for k in range(levels - 2)])
         )
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -93,11 +94,11 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, levels: int) -> tuple[np.ndar
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by grade that have each feature."""
+    """Documents by grade that have each feature, and all of a grade under the empty one."""
     for batch in batches:
         seen: dict[tuple[str, int], int] = {}
         for text, grade in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for f in features_of(text):
+            for f in (*features_of(text), ""):
                 seen[f, grade] = seen.get((f, grade), 0) + 1
         keys = list(seen)
         yield pa.record_batch(
@@ -125,30 +126,29 @@ def train(
     spark = documents.sparkSession
     small_batches(spark)
     graded = labels.select(labels[id_column].alias("id"), grade.cast("int").alias("grade")).dropna().filter(F.col("grade").between(0, levels - 1))
-    chosen = graded.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
     texts = documents.select(documents[id_column].alias("id"), text_of(documents, text_column).alias("text"))
-    known = staged(texts.join(F.broadcast(chosen), "id").select("text", "grade"), "toxicity-sample")  # at most ``sample`` small rows
-    totals = dict(known.groupBy("grade").count().collect())
-    n, high = sum(totals.values()), sum(c for g, c in totals.items() if g > 0)
-    counted = known.mapInArrow(_presence, "feature string, grade int, n long").groupBy("feature").agg(
-        F.sum("n").alias("all"), F.sum(F.when(F.col("grade") > 0, F.col("n")).otherwise(0)).alias("high")
-    )
+    counted = texts.join(graded, "id").select("text", "grade").mapInArrow(_presence, "feature string, grade int, n long").groupBy("feature")
+    high_of = F.sum(F.when(F.col("grade") > 0, F.col("n")).otherwise(0))
+    counted = staged(counted.agg(F.sum("n").alias("all"), high_of.alias("high")).filter((F.col("all") >= LEAST_DOCS) | (F.col("feature") == "")), "toxicity-counts")
+    whole = counted.filter("feature = ''").first()
+    n, high = (whole["all"], whole["high"]) if whole else (0, 0)
     if not high or high == n:
         return Ordinal({}, np.zeros(0), np.where(np.arange(levels - 1) < (levels - 1 if high == 0 else 0), 20.0, -20.0))
     low = n - high
     share = F.col("all") / n
     z = (F.col("high") / high - (F.col("all") - F.col("high")) / low) / F.sqrt(share * (1 - share) * (1 / high + 1 / low) + 1e-12)
-    rows = counted.filter(F.col("all") >= LEAST_DOCS).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
-    names = {r[0]: k for k, r in enumerate(rows.orderBy(F.desc("z"), "feature").limit(FEATURES).collect())}
+    rows = counted.filter((F.col("feature") != "") & (F.col("all") >= LEAST_DOCS)).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
+    names = {r[0]: k for k, r in enumerate(rows.orderBy(F.desc("z"), "feature").collect())}
+    chosen = graded.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
+    known = texts.join(F.broadcast(chosen), "id").select("text", "grade")  # at most ``sample`` small rows
     found = known.mapInArrow(_present(spark.sparkContext.broadcast(names)), "found array<int>, grade int").collect()
-    x = np.zeros((len(found), len(names)), dtype=np.float32)
-    for k, (own, _) in enumerate(found):
-        x[k, own] = 1.0
-    grades = np.array([r[1] for r in found])
+    at = np.repeat(np.arange(len(found)), [len(own) for own, _ in found])
+    of = np.array([k for own, _ in found for k in own], dtype=np.int64)
+    grades = np.array([r[1] for r in found], dtype=np.int64)
     if by_extent:
-        extent = x.sum(axis=1)
-        grades = np.where(grades > 0, 1 + (extent > np.median(extent[grades > 0])), 0)
-    return Ordinal(names, *fit_ordinal(x, grades, 3 if by_extent else levels))
+        extent = np.bincount(at, minlength=len(found))
+        grades = np.where(grades > 0, 1 + (extent > (np.median(extent[grades > 0]) if (grades > 0).any() else 0)), 0)
+    return Ordinal(names, *fit_ordinal(at, of, len(names), grades, 3 if by_extent else levels))
 
 
 def _scorer(shared, schema: pa.Schema):
