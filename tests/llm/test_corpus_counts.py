@@ -3,7 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
-from tidemark.llm import toxicity
+from tidemark.llm import toxicity, url_filter
 
 
 def test_toxic_stems_beyond_the_sample(spark):
@@ -21,3 +21,23 @@ def test_features_grow(spark):
     model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.col("toxic"), 2)
     words = {w for _, text, toxic in rows if toxic for w in text.split()}
     assert len(words) == 160 and words <= set(model.names) and len(model.names) > 512
+
+
+def test_rare_suffixes_beyond_the_sample(spark):
+    rows = [(f"https://h{k}.{'rare' if k % 20 == 0 else 'com'}/p/{k}", f"h{k}.{'rare' if k % 20 == 0 else 'com'}", f"/p/{k}", k % 20 == 0) for k in range(1000)]
+    _, odds = url_filter.train(spark.createDataFrame(rows, "url string, host string, path string, blocked boolean"), 100)
+    assert odds[0]["rare"] > 0 > odds[0]["com"] and set(odds[2]) == {"p"}
+
+
+def test_copies_of_a_hot_url_are_sampled_apart(spark):
+    rows = [(k, "https://hot.com/a" if k % 3 == 0 else f"https://h{k}.com/a") for k in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    seen = []
+    old = url_filter.fit
+    url_filter.fit = lambda x, y: seen.append(x) or old(x, y)
+    try:
+        url_filter.judge(df, df.withColumn("blocked", F.col("page_id") % 2 == 0), rules=(), sample=300).count()
+    finally:
+        url_filter.fit = old
+    hot = (seen[0][:, 0] == len("https://hot.com/a")).sum() / len(seen[0])
+    assert len(seen[0]) == 300 and 0.2 < hot < 0.5

@@ -2,9 +2,9 @@
 
 The trees see lexical features: lengths, depth, digit ratio, entropy, numbers of
 parameters and hyphens, and the log odds of the host's suffix, of its last two
-labels and of the path's first part among labelled URLs.  They are trained on
-labelled URLs, of which a sample of at most ``SAMPLE`` rows, chosen by a hash of
-the URL, goes to the driver.
+labels and of the path's first part, counted over all labelled URLs.  They are
+trained on a sample of at most ``SAMPLE`` labelled rows, chosen by a hash of the
+row's id and URL, which goes to the driver.
 """
 
 from __future__ import annotations
@@ -87,23 +87,19 @@ def features(url: str, host: str, path: str, odds: tuple[dict, dict, dict]) -> l
     ]
 
 
-def suffix_odds(rows: list[tuple[str, str]], labels: np.ndarray) -> tuple[dict, dict, dict]:
+def suffix_odds(labelled: DataFrame) -> tuple[dict, dict, dict]:
     """Smoothed log odds of a blocked URL by suffix, last two labels, and first part of the path."""
-    prior = (labels.sum() + 1) / (len(labels) + 2)
-    out = []
-    for which in range(3):
-        seen, blocked = Counter(), Counter()
-        for (host, path), y in zip(rows, labels.tolist(), strict=True):
-            key = _keys(host, path)[which]
-            seen[key] += 1
-            blocked[key] += y
-        table = {}
-        for key, n in seen.items():
-            if n >= LEAST_LEAF:
-                p = (blocked[key] + SMOOTH * prior) / (n + SMOOTH)
-                table[key] = math.log(p / (1 - p)) - math.log(prior / (1 - prior))
-        out.append(table)
-    return tuple(out)
+    host, part = F.col("host"), F.coalesce(F.get(F.split("path", "/"), 1), F.lit(""))
+    keys = F.array(F.substring_index(host, ".", -1), F.substring_index(host, ".", -2), part)
+    y = F.col("blocked").cast("long")
+    n, high = labelled.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0))).first()
+    prior = (high + 1) / (n + 2)
+    counted = labelled.select(F.posexplode(keys).alias("which", "key"), y.alias("y")).groupBy("which", "key").agg(F.count("*").alias("n"), F.sum("y").alias("high"))
+    out = ({}, {}, {})
+    for which, key, n, high in counted.filter(F.col("n") >= LEAST_LEAF).collect():
+        p = (high + SMOOTH * prior) / (n + SMOOTH)
+        out[which][key] = math.log(p / (1 - p)) - math.log(prior / (1 - prior))
+    return out
 
 
 @dataclass
@@ -176,11 +172,14 @@ def _scorer(shared, schema: pa.Schema):
     return run
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees, tuple[dict, dict, dict]]:
-    """Trees and suffix tables from (url, host, path, blocked), on at most ``sample`` rows."""
-    rows = bounded_sample(labelled, sample, "url").select("url", "host", "path", F.col("blocked").cast("int")).collect()
+def train(labelled: DataFrame, sample: int = SAMPLE, ids: tuple[str, ...] = ()) -> tuple[Trees, tuple[dict, dict, dict]]:
+    """Trees, on at most ``sample`` rows, and suffix tables, of all rows, from (url, host, path, blocked).
+
+    Rows are chosen by ``ids`` and the URL, so that copies of one URL are chosen apart.
+    """
+    rows = bounded_sample(labelled, sample, *ids, "url").select("url", "host", "path", F.col("blocked").cast("int")).collect()
     y = np.array([r[3] for r in rows], dtype=np.float64)
-    odds = suffix_odds([(r[1], r[2]) for r in rows], y)
+    odds = suffix_odds(labelled)
     x = np.array([features(r[0], r[1], r[2], odds) for r in rows], dtype=np.float64).reshape(len(rows), 16)
     return fit(x, y), odds
 
@@ -192,7 +191,7 @@ def judge(
     (of the trees) and ``verdict``: the longest fitting rule's, else block where
     the trees give it more than a half.
 
-    ``labelled`` has ``url`` and ``blocked``; without it, the pages that a rule
+    ``labelled`` has ``url`` and ``blocked``, and may have carried columns; without it, the pages that a rule
     decides are the labelled URLs.  A null URL, or one without ``://``, has an
     empty host and path.  Without labelled URLs the trees say a half, which
     allows.  Repeated rows and null ids are judged row by row.
@@ -203,11 +202,12 @@ def judge(
     located = lambda df: df.withColumns({"host": host, "path": path})
     rows = located(pages.select(*[pages[c] for c in carry], F.coalesce(pages[url_column].cast("string"), F.lit("")).alias("url")))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
+    ids = carry if labelled is None else tuple(c for c in carry if c in labelled.columns)
     if labelled is None:
-        known = rows.withColumn("v", verdict).filter("v IS NOT NULL").select("url", "host", "path", (F.col("v") == "block").alias("blocked"))
+        known = rows.withColumn("v", verdict).filter("v IS NOT NULL").select(*ids, "url", "host", "path", (F.col("v") == "block").alias("blocked"))
     else:
-        known = located(labelled.select("url", "blocked").dropna()).select("url", "host", "path", "blocked")
-    shared = spark.sparkContext.broadcast(train(known, sample))
+        known = located(labelled.select(*ids, "url", "blocked").dropna(subset=["url", "blocked"])).select(*ids, "url", "host", "path", "blocked")
+    shared = spark.sparkContext.broadcast(train(known, sample, ids))
     schema = T.StructType([pages.schema[c] for c in carry] + [T.StructField(n, T.StringType()) for n in ("url", "host", "path")] + [T.StructField("p_block", T.DoubleType())])
     scored = rows.select(*carry, "url", "host", "path").mapInArrow(_scorer(shared, to_arrow_schema(schema)), schema)
     return scored.select(
