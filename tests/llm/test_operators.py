@@ -173,10 +173,10 @@ def test_near_duplicates(docs, rows, spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("few", "dense"), [(8, 512), (1, 512), (1, 3), (512, 512)])
-def test_links_connect_what_is_near(spark, few, dense):
-    """All three ways of linking a shared signature give the same components."""
-    r = random.Random(few * 1000 + dense)
+@pytest.mark.parametrize("place", [8192, 20, 5, 1])
+def test_links_connect_what_is_near(spark, place):
+    """In place, by longer signatures and by common neighbours: the components are the same."""
+    r = random.Random(place)
     values = []
     for _ in range(12):
         at = r.getrandbits(64)
@@ -185,7 +185,7 @@ def test_links_connect_what_is_near(spark, few, dense):
     values += [0, 1, 2**63, 2**64 - 1]
     want = plain_components(values)
     df = spark.createDataFrame([(simhash._signed(v),) for v in set(values)], "fp long")
-    got = {row["node"] % 2**64: row["label"] for row in simhash.components(simhash.links(df, few, dense)).collect()}
+    got = {row["node"] % 2**64: row["label"] for row in simhash.components(simhash.links(df, place)).collect()}
     by_plain, by_links = {}, {}
     for v in set(values):
         by_plain.setdefault(want[v], set()).add(v)
@@ -193,6 +193,38 @@ def test_links_connect_what_is_near(spark, few, dense):
     assert sorted(map(sorted, by_plain.values())) == sorted(map(sorted, by_links.values()))
 
 
+@pytest.mark.parametrize("together", [1, 150, 1 << 16])
+def test_forest_of_a_large_group_connects_what_is_near(together, monkeypatch):
+    """A tight ball of 700 values and 700 far ones under one signature, in batches that cut groups."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    r = random.Random(2)
+    values = {sum(1 << b for b in r.sample(range(21, 64), r.randrange(0, 4))) for _ in range(700)} | {r.getrandbits(43) << 21 for _ in range(700)}
+    other = {v | 1 << 20 for v in list(values)[:5]}
+    rows = [(0, 0, v) for v in sorted(values)] + [(0, 1 << 20, v) for v in sorted(other)] + [(1, k, k) for k in range(90)]
+    columns = list(zip(*[(s, p, simhash._signed(v)) for s, p, v in rows], strict=True))
+    batch = pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["slot", "part", "fp"])
+    edges = [(x["a"] % 2**64, x["b"] % 2**64) for out in simhash._forests(batch.slice(k, 100) for k in range(0, len(rows), 100)) for x in out.to_pylist()]
+    label = {v: v for v in values | other}
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in edges:
+        assert (a ^ b).bit_count() <= 4
+        label[max(find(a), find(b))] = min(find(a), find(b))
+    for group in (values, other):
+        want = plain_components(group)
+        same = {}
+        for v in group:
+            same.setdefault(want[v], set()).add(find(v))
+        assert all(len(x) == 1 for x in same.values())
+    assert len(edges) < len(rows)
+
+
 # secrets
 
 

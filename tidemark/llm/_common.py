@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: byte limit is what bounds a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,18 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = getattr(spark.sparkContext, "_tidemark_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
         spark.sparkContext._tidemark_dir = found
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _sweep() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; the folder's owner cleans up
             return
 
@@ -49,7 +54,7 @@ atexit.register(_sweep)
 def staged_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    _staged[path] = spark
     return path
 
 
@@ -61,7 +66,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_staged_path", None)
+        if path in _staged:
+            _delete(_staged.pop(path), path)
 
 
 def small_batches(spark: SparkSession) -> None:

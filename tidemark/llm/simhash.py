@@ -12,15 +12,14 @@ also lets a pair through under one signature only.
 Copies never meet each other: fingerprints are made distinct first, and
 documents come back by joining on the fingerprint.
 
-A signature shared by more than ``FEW`` distinct fingerprints is not joined with
-itself, as its pairs would grow with the square of it.  Up to ``DENSE`` its rows
-are compared in one place and only a spanning forest of its links comes out,
-which connects the same.  Beyond that its fingerprints are linked another way,
-just as exact: two fingerprints within four bits have
-a value within two bits of both, and all fingerprints around one value are
-within four bits of each other.  So each lists the 2,081 values around it, and
-those that share a value are linked to the smallest of them, a star instead of
-all pairs.
+The fingerprints that share a signature are compared in one place, and a spanning
+forest of their links comes out, which connects the same.  Signatures of more than
+``IN_PLACE`` fingerprints, counted beforehand, are not brought together.  They are
+made longer first: their pairs differ in at most four of the bits outside the
+segment, so of five parts of those bits one is equal.  What is crowded even then
+is a huge group of near copies.  Its fingerprints are linked by common neighbours:
+each lists the 2,081 values within two bits, and those that share one are linked
+to the smallest of them.  All three are exact; brute force is compared with each.
 
 Components are found by spreading the smallest label over the links and
 following labels of labels; each round is written to the shared folder.
@@ -37,12 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, staged, text_of
+from ._common import small_batches, staged, text_of, unstage
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 #: First bit and width of the segments.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-FEW, DENSE = 8, 512
+#: Groups whose pairs are compared at one go, those that one task compares in place,
+#: and rows that it works on at a time.
+FEW, IN_PLACE, TOGETHER = 8, 8192, 1 << 16
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -97,13 +98,6 @@ def with_fingerprints(
     return slim.mapInArrow(_fingerprints(schema.names, size), schema)
 
 
-def _masks() -> tuple[Column, Column]:
-    """By signature number: the segment's mask, and the bit left out."""
-    own = _slots()
-    masks, bits = [_segment(k) for k, _ in own], [1 << i for _, i in own]
-    return tuple(F.array(*[F.lit(_signed(x)).cast("long") for x in xs])[F.col("slot")] for xs in (masks, bits))
-
-
 def _slots() -> list[tuple[int, int]]:
     """(segment, bit left out) by signature number."""
     return [(k, low + i) for k, (low, width) in enumerate(SEGMENTS) for i in range(width)]
@@ -114,133 +108,196 @@ def _segment(k: int) -> int:
     return ((1 << width) - 1) << low
 
 
-def _pair_under(x: Column, slot: Column) -> Column:
-    """Whether a pair that differs in ``x`` counts under the signature: under the
+def _rest(slot: int) -> list[int]:
+    """Masks of five parts of the bits outside the segment of a signature."""
+    own = [b for b in range(64) if not _segment(_slots()[slot][0]) >> b & 1]
+    cuts = [len(own) * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    return [sum(1 << b for b in own[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(x)).cast("long") for x in values])
+
+
+def signatures(fingerprints: DataFrame) -> DataFrame:
+    """(slot, part, fp): each fingerprint under its 64 signatures."""
+    masks = [_segment(k) & ~(1 << bit) for k, bit in _slots()]
+    listed = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
+    return listed.select("slot", F.col("fp").bitwiseAND(_longs(masks)[F.col("slot")]).alias("part"), "fp")
+
+
+def refined(listed: DataFrame) -> DataFrame:
+    """Signatures made longer: a pair that agrees on a segment with one bit left out
+    differs in at most four of the other bits, so of five parts of those one is equal."""
+    parts = [_longs([_rest(slot)[k] for slot in range(64)])[F.col("slot")] for k in range(DISTANCE + 1)]
+    longer = F.explode(F.array(*[F.xxhash64("part", F.lit(k), F.col("fp").bitwiseAND(parts[k])) for k in range(DISTANCE + 1)]))
+    return listed.select("slot", longer.alias("part"), "fp")
+
+
+_SEGMENT_OF = np.array([_segment(k) for k, _ in _slots()], dtype=np.uint64)
+_BIT_OF = np.array([1 << bit for _, bit in _slots()], dtype=np.uint64)
+_NUMBER_OF = np.array([k for k, _ in _slots()])
+_FIRST_OF = np.array([bit == SEGMENTS[k][0] for k, bit in _slots()])
+
+
+def counts_under(x: np.ndarray, slot) -> np.ndarray:
+    """Whether pairs that differ in ``x`` link and count under a signature: under the
     first segment with at most one difference, with that bit, or else the first, left out."""
-    out, base = F.lit(False), 0
-    for k, (low, width) in enumerate(SEGMENTS):
-        own = x.bitwiseAND(F.lit(_signed(_segment(k))))
-        here = (slot >= base) & (slot < base + width)
-        for e in range(k):
-            here &= F.bit_count(x.bitwiseAND(F.lit(_signed(_segment(e))))) > 1
-        left_out = F.call_function("shiftleft", F.lit(1).cast("long"), slot - (base - low))
-        out |= here & F.when(own == 0, slot == base).otherwise(own == left_out)
-        base += width
-    return out & (F.bit_count(x) <= DISTANCE)
+    own = x & _SEGMENT_OF[slot]
+    out = (np.bitwise_count(x) <= DISTANCE) & (x != 0) & ((own == _BIT_OF[slot]) | ((own == 0) & _FIRST_OF[slot]))
+    for e in range(len(SEGMENTS) - 1):
+        out &= (np.bitwise_count(x & np.uint64(_segment(e))) > 1) | (e >= _NUMBER_OF[slot])
+    return out
 
 
 def forest(slot: int, values: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that count under a signature (as positions)."""
-    segment, bit = _slots()[slot]
-    x = values[:, None] ^ values[None, :]
-    own = x & np.uint64(_segment(segment))
-    linked = (np.bitwise_count(x) <= DISTANCE) & ((own == np.uint64(1 << bit)) | ((own == 0) & (bit == SEGMENTS[segment][0])))
-    for e in range(segment):
-        linked &= np.bitwise_count(x & np.uint64(_segment(e))) > 1
-    np.fill_diagonal(linked, False)
-    fresh, out = linked.any(axis=1), []
-    while fresh.any():
-        stack = [int(np.argmax(fresh))]
-        fresh[stack[0]] = False
-        while stack:
-            at = stack.pop()
-            near = np.flatnonzero(linked[at] & fresh).tolist()
-            fresh[near] = False
+    """A spanning forest of the pairs that count under a signature (as positions).
+
+    Each value is held against those that are not connected yet, so a group of n
+    takes room for n numbers and at most n * n / 2 comparisons.
+    """
+    left, stack, out = np.arange(1, len(values)), [0], []
+    while len(left):
+        if not stack:
+            stack.append(int(left[0]))
+            left = left[1:]
+        at = stack.pop()
+        x = values[left] ^ values[at]
+        close = np.flatnonzero(np.bitwise_count(x) <= DISTANCE)
+        if len(close):
+            close = close[counts_under(x[close], slot)]
+            near = left[close].tolist()
+            left = np.delete(left, close)
             out += [(at, k) for k in near]
             stack += near
     return out
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, part, fp) sorted by signature; a signature may go on in the next batch."""
-    slots, parts, fps = (np.zeros(0, dtype=np.int64) for _ in range(3))
+def _linked(slots: np.ndarray, fps: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    """Links of groups that lie between cuts: small ones by all their pairs, others by a forest."""
+    sizes, fps = np.diff(cuts), fps[: cuts[-1]]
+    values, group, one, two = fps.view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), [], []
+    small = np.repeat(sizes <= FEW, sizes)
+    for lag in range(1, min(FEW, int(sizes.max(initial=0)))):
+        x = values[lag:] ^ values[:-lag]
+        near = np.flatnonzero((np.bitwise_count(x) <= DISTANCE) & (group[lag:] == group[:-lag]) & small[lag:])
+        near = near[counts_under(x[near], slots[near])]
+        one.append(fps[near])
+        two.append(fps[near + lag])
+    for k in np.flatnonzero(sizes > FEW).tolist():
+        own = slice(int(cuts[k]), int(cuts[k + 1]))
+        at = np.array(forest(int(slots[own.start]), values[own]), dtype=np.int64).reshape(-1, 2)
+        one.append(fps[own][at[:, 0]])
+        two.append(fps[own][at[:, 1]])
+    a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *xs]) for xs in (one, two))
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    def closed(cuts: np.ndarray) -> pa.RecordBatch:
-        ends = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            ends += [(a + i, a + j) for i, j in forest(int(slots[a]), fps[a:b].view(np.uint64))]
-        at = np.array(ends, dtype=np.int64).reshape(-1, 2)
-        return pa.record_batch([pa.array(fps[at[:, 0]]), pa.array(fps[at[:, 1]])], names=["a", "b"])
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, part, fp) sorted by signature; a signature may go on in the next batch."""
+    held: list[list[np.ndarray]] = [[], [], []]
+    rows = 0
     for batch in batches:
-        slots, parts, fps = (
-            np.concatenate((kept, batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))) for k, kept in enumerate((slots, parts, fps))
-        )
+        for k, column in enumerate(held):
+            column.append(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64))
+        rows += batch.num_rows
+        if rows < TOGETHER:
+            continue
+        slots, parts, fps = map(np.concatenate, held)
         cuts = np.concatenate(([0], np.flatnonzero((slots[1:] != slots[:-1]) | (parts[1:] != parts[:-1])) + 1))
-        yield closed(cuts)
-        slots, parts, fps = slots[cuts[-1] :], parts[cuts[-1] :], fps[cuts[-1] :]
-    yield closed(np.array([0, len(fps)]) if len(fps) else np.zeros(1, dtype=np.int64))
+        yield _linked(slots, fps, cuts)
+        held, rows = [[x[cuts[-1] :]] for x in (slots, parts, fps)], len(fps) - int(cuts[-1])
+    if rows:
+        slots, parts, fps = map(np.concatenate, held)
+        cuts = np.flatnonzero((slots[1:] != slots[:-1]) | (parts[1:] != parts[:-1])) + 1
+        yield _linked(slots, fps, np.concatenate(([0], cuts, [len(fps)])))
 
 
-def links(fingerprints: DataFrame, few: int = FEW, dense: int = DENSE) -> DataFrame:
-    """Pairs (a, b) that connect what is within ``DISTANCE`` bits.
+def _by_forests(listed: DataFrame) -> DataFrame:
+    together = listed.repartition("slot", "part").sortWithinPartitions("slot", "part", "fp")
+    return together.mapInArrow(_forests, "a long, b long")
+
+
+def _crowded(listed: DataFrame, most: int) -> DataFrame:
+    """(slot, part) of more than ``most`` fingerprints, counted with partial sums."""
+    counted = listed.groupBy("slot", "part").agg(F.count("*").alias("n"))
+    return staged(counted.filter(F.col("n") > most).select("slot", "part"), "simhash-crowded")
 
-    ``fingerprints`` has the distinct values in ``fp``.
-    """
-    mask, bit = _masks()
-    slots = fingerprints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("slot"))
-    signed = slots.select("fp", "slot", F.col("fp").bitwiseAND(mask).bitwiseAND(F.bitwise_not(bit)).alias("part"))
-    counted = signed.withColumn("n", F.expr("count(*) OVER (PARTITION BY slot, part)"))
-    counted = staged(counted.filter("n > 1"), "simhash-signatures")
-    small, many = counted.filter(F.col("n") <= few), counted.filter(F.col("n") > dense)
-    middle = counted.filter((F.col("n") > few) & (F.col("n") <= dense))
-
-    a, b = small.alias("a"), small.alias("b")
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.fp") < F.col("b.fp"))
-    pairs = a.join(b, same & _pair_under(x, F.col("a.slot"))).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    together = middle.select("slot", "part", "fp").repartition("slot", "part").sortWithinPartitions("slot", "part", "fp")
-    pairs = pairs.unionByName(together.mapInArrow(_forests, "a long, b long"))
 
+def _stars(crowd: DataFrame) -> DataFrame:
+    """Links of distinct fingerprints by common neighbours.
+
+    Two within four bits have a value within two bits of both, and all around one
+    value are within four bits of each other.  So those that share a value are
+    linked to the smallest of them.
+    """
     around = [0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
-    ball = F.array(*[F.lit(_signed(v)) for v in around])
-    crowd = many.select("fp").distinct()
-    near = crowd.select("fp", F.explode(ball).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("value"))
-    first = near.groupBy("value").agg(F.min("fp").alias("a"))
-    stars = near.join(first, "value").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
-    return pairs.unionByName(stars) if not many.isEmpty() else pairs
+    near = crowd.select("fp", F.explode(_longs(around)).alias("v")).select("fp", F.col("fp").bitwiseXOR(F.col("v")).alias("value"))
+    first = near.groupBy("value").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).filter("a < last").select("value", "a")
+    return near.join(first.hint("merge"), "value").filter("a < fp").groupBy("a", F.col("fp").alias("b")).agg(F.count("*").alias("n")).select("a", "b")
+
+
+def links(fingerprints: DataFrame, place: int = IN_PLACE) -> DataFrame:
+    """Pairs (a, b) that connect what is within ``DISTANCE`` bits, staged.
+
+    ``fingerprints`` has the distinct values in ``fp``.
+    """
+    listed = signatures(fingerprints)
+    crowded = _crowded(listed, place)
+    if crowded.isEmpty():
+        return staged(_by_forests(listed), "simhash-links")
+    found = _by_forests(listed.join(crowded.hint("merge"), ["slot", "part"], "left_anti"))
+    longer = refined(listed.join(crowded.hint("merge"), ["slot", "part"], "left_semi"))
+    still = _crowded(longer, place)
+    found = found.unionByName(_by_forests(longer.join(still.hint("merge"), ["slot", "part"], "left_anti")))
+    if not still.isEmpty():
+        crowd = staged(longer.join(still.hint("merge"), ["slot", "part"], "left_semi").select("fp").distinct(), "simhash-crowd")
+        found = found.unionByName(_stars(crowd))
+    return staged(found, "simhash-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of an edge: the smallest node that can be reached."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    both = staged(both.union(edges.select("a", "a")).union(edges.select("b", "b")).distinct(), "simhash-edges")
-    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label")), "simhash-labels")
+    """(node, label) for every node of an edge: the smallest node that can be reached.
+
+    Labels spread over the links and then follow the label's own label; all
+    joins are shuffled, as links and labels grow with the data.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = staged(edges.select(ends.alias("e")).select("e.u", "e.v"), "simhash-edges")
+    labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("label")), "simhash-labels")
     total = F.sum(F.col("label").cast("decimal(38,0)"))
     before = labels.agg(total).first()[0]
     while before is not None:
-        spread = (
-            both.join(labels, both["v"] == labels["node"])
-            .groupBy(both["u"].alias("node"))
-            .agg(F.min("label").alias("label"))
-        )
+        seen = both.join(labels.hint("merge"), both["v"] == labels["node"]).select(F.col("u").alias("node"), "label")
+        spread = seen.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
         follow = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = staged(
-            spread.join(follow, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "simhash-labels"
+        last, labels = labels, staged(
+            spread.join(follow.hint("merge"), "label", "left").select("node", F.coalesce("further", "label").alias("label")), "simhash-labels"
         )
+        unstage(last)
         now = labels.agg(total).first()[0]
         if now == before:
             break
         before = now
+    unstage(both)
     return labels
 
 
-def _grouped(rows: DataFrame, key: Column, few: int = FEW, dense: int = DENSE) -> DataFrame:
+def _grouped(rows: DataFrame, key: Column, place: int = IN_PLACE) -> DataFrame:
     """(fp, first): the least ``key`` among all rows that a fingerprint's links reach."""
     own = staged(rows.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
-    labels = components(links(own.select("fp"), few, dense))
-    labelled = staged(
-        own.join(labels, own["fp"] == labels["node"]).select("fp", "label", "first"), "simhash-labelled"
-    )
-    least = labelled.groupBy("label").agg(F.min("first").alias("least"))
-    linked = labelled.join(least, "label").select("fp", "least")
-    return staged(
-        own.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("first")), "simhash-groups"
-    )
+    found = links(own.select("fp"), place)
+    labels = components(found)
+    labelled = own.join(labels.hint("merge"), own["fp"] == labels["node"], "left").select("fp", F.coalesce("label", "fp").alias("label"), "first")
+    labelled = staged(labelled, "simhash-labelled")
+    least = labelled.groupBy("label").agg(F.min("first").alias("first"))
+    out = staged(labelled.drop("first").join(least.hint("merge"), "label").select("fp", "first"), "simhash-groups")
+    unstage(own, found, labels, labelled)
+    return out
 
 
 def near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, few: int = FEW, dense: int = DENSE
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, place: int = IN_PLACE
 ) -> DataFrame:
     """A row per document: ``doc_id``, ``fingerprint`` (16 hexadecimal digits) and
     ``component_id``, the smallest id among the documents that links reach.
@@ -251,14 +308,14 @@ def near_duplicates(
     """
     ids = documents.select(documents[id_column].alias("doc_id"), documents[text_column].alias("text"))
     rows = staged(with_fingerprints(ids, ("doc_id",), "text", size), "simhash-fingerprints")
-    groups = _grouped(rows, F.col("doc_id"), few, dense)
-    return rows.join(groups, "fp").select(
+    groups = _grouped(rows, F.col("doc_id"), place)
+    return rows.join(groups.hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
 def drop_near_duplicates(
-    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, few: int = FEW, dense: int = DENSE
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WORDS, place: int = IN_PLACE
 ) -> DataFrame:
     """The documents, all columns, with one row of each group: that of the smallest
     id (null ids last), and of equal ids the first read.
@@ -269,6 +326,6 @@ def drop_near_duplicates(
     kept = documents.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", documents[text_column])
     rows = staged(with_fingerprints(kept, (*names, "__row"), "__text", size, "__fp"), "simhash-rows")
     slim = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("__row").alias("row")).alias("key"))
-    groups = _grouped(slim, F.col("key"), few, dense)
+    groups = _grouped(slim, F.col("key"), place)
     stay = groups.select(F.col("first.row").alias("__row")).distinct()
-    return rows.join(stay, "__row", "left_semi").select(*names)
+    return rows.join(stay.hint("merge"), "__row", "left_semi").select(*names)
