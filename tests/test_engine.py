@@ -110,6 +110,57 @@ def test_numbering_is_dense_and_in_order(spark):
     assert writes.put_rows(spark.createDataFrame([], "key string, value string"), 3).count() == 0
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Range partitions that adaptive execution deals by their bytes, so other columns give other partitions."""
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1m"}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_numbering_of_a_wide_batch(spark, many_partitions):
+    n = 60_000
+    value = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.sha2(F.concat_ws("-", "id", i).cast("binary"), 256)))
+    puts = spark.range(0, n, 1, 8).select(F.format_string("k%06d", (F.col("id") * 7919) % n).alias("key"), value.alias("value"))
+    rows = writes.put_rows(puts, 5)
+    rows.write.mode("overwrite").format("noop").save()
+    seen = rows.select("key", "version", F.length("value").alias("size")).collect()
+    assert sorted((r["version"], r["key"]) for r in seen) == [(6 + i, f"k{i:06d}") for i in range(n)]
+    assert {r["size"] for r in seen} == {1024}
+    gone = writes.delete_rows(puts.withColumn("key", F.concat("key", "value")), 0).select("version").distinct().count()
+    assert gone == n
+
+
+def plain_adjacent(rows):
+    """Runs of one hash, within a bucket and in order of z, keep their newest version."""
+    out, last = [], None
+    for bucket, z, version, key_hash in sorted(rows):
+        if last == (bucket, key_hash):
+            out[-1] = max(out[-1], version)
+        else:
+            out.append(version)
+        last = (bucket, key_hash)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hashes", [2, 40, 3000])
+def test_adjacent_runs_go_on_over_ranges(spark, many_partitions, hashes):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    r = random.Random(hashes)
+    rows = [(k // 1000, k, v, r.randrange(hashes) if k % 50 else 7) for k, v in zip(range(4000), r.sample(range(10_000), 4000), strict=True)]
+    rows += [(9, 5000 + k, 20_000 - k, 1) for k in range(3000)]
+    log = spark.createDataFrame(rows, "bucket long, z long, version long, key_hash long").repartition(5)
+    try:
+        assert sorted(r[0] for r in compaction.compact_adjacent(log).select("version").collect()) == plain_adjacent(rows)
+        assert compaction.compact_adjacent(log.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @given(st.lists(st.tuples(st.text(max_size=8), st.integers(0, 2**31 - 1)), min_size=1, max_size=20))
 @settings(max_examples=8, deadline=None)
 def test_z_order_equals_python(spark, pairs):

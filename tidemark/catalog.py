@@ -6,18 +6,20 @@ and errors tombstones.  A few queries run on the like view of ``orders``.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import zorder as Z
 from .operators import compaction, reads, tiers, writes
 from .plans import zfilters
 from .sources.changelog import SCHEMA, events_log, orders_log
-from .sources.store import Store
+from .sources.scratch import shared_dir
+from .sources.store import LateRows, Store, StoreConfig, VersionNotFound, _Files
 from .streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,17 +112,24 @@ def get_latest(s, d):
     return reads.get_latest(events_log(s, d), KEY)
 
 
-_DELETED = "(SELECT key, min(version) AS since FROM log WHERE deleted GROUP BY key ORDER BY since LIMIT 1)"
+_DELETED = "(SELECT key, version AS since FROM log l WHERE deleted AND EXISTS (SELECT 1 FROM log b WHERE b.key = l.key AND b.version < l.version) ORDER BY since LIMIT 1)"
 
 
-@_query(f"SELECT l.key, l.version FROM log l JOIN {_DELETED} x ON l.key = x.key WHERE l.version = (SELECT max(version) FROM log m JOIN {_DELETED} y ON m.key = y.key WHERE m.version <= y.since) AND NOT l.deleted")
+@_query(
+    f"""SELECT p.at, n.version, n.value FROM (SELECT 'before' AS at, 1 AS back UNION ALL SELECT 'deleted', 0) p
+LEFT JOIN (SELECT x.since - b.back AS "until", b.back, l.version, l.value, l.deleted, row_number() OVER (PARTITION BY b.back ORDER BY l.version DESC) AS rn
+  FROM {_DELETED} x, (SELECT 1 AS back UNION ALL SELECT 0) b, log l WHERE l.key = x.key AND l.version <= x.since - b.back) n ON n.back = p.back AND n.rn = 1 AND NOT n.deleted"""
+)
 def get_deleted_as_of(s, d):
-    """A key just deleted is absent at that version."""
+    """A key just before it is deleted, and at the version of its tombstone, where it is absent."""
     log = events_log(s, d)
-    first = log.filter("deleted").groupBy("key").agg(F.min("version").alias("at")).orderBy("at").first()
+    order = Window.partitionBy("key").orderBy("version")
+    first = log.withColumn("n", F.row_number().over(order)).filter("deleted AND n > 1").orderBy("version").select("key", "version").first()
+    wanted = s.createDataFrame([("before",), ("deleted",)], "at string")
     if first is None:
-        return log.limit(0).select("key", "version")
-    return reads.get_as_of(log, first["key"], first["at"]).select("key", "version")
+        return wanted.select("at", F.lit(None).cast("long").alias("version"), F.lit(None).cast("string").alias("value"))
+    found = [reads.get_as_of(log, first["key"], first["version"] - back).select(F.lit(at).alias("at"), "version", "value") for at, back in (("before", 1), ("deleted", 0))]
+    return wanted.join(found[0].unionByName(found[1]), "at", "left")
 
 
 @_query(f"SELECT key, version, value FROM {NEWEST.format(rows=f'zl WHERE version <= {V} AND key = ' + chr(39) + KEY + chr(39))}", HASHED)
@@ -128,9 +137,13 @@ def get_by_hash(s, d):
     return reads.get_by_hash(zfilters.with_z(events_log(s, d)), KEY, Z.py_le4(KEY), V)
 
 
-@_query(f"SELECT key, version, value FROM {newest(V, '''key IN (SELECT 'user:' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 = 0)''')}")
+_ASKED = "key IN (SELECT 'user:' || CAST(c_custkey AS VARCHAR) FROM customer)"
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, _ASKED)}")
 def multi_get(s, d):
-    keys = s.read.parquet(f"{d}/customer.parquet").filter("c_custkey % 3 = 0").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    """The live rows of all customers' keys."""
+    keys = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
     return reads.multi_get(events_log(s, d), keys, V)
 
 
@@ -163,19 +176,28 @@ def prefix_scan(s, d):
 _HISTORY = f"SELECT version, CASE WHEN deleted THEN '' ELSE value END AS value FROM log WHERE key = '{KEY}'"
 
 
-@_query(_HISTORY)
+def _ordered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows with their places, so that the order can be compared too.  It is a check of small results only."""
+    columns, rows = df.schema, df.collect()
+    return df.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], T.StructType([T.StructField("place", T.LongType()), *columns.fields]))
+
+
+_PLACED = "SELECT row_number() OVER (ORDER BY version) - 1 AS place, * FROM ({})"
+
+
+@_query(_PLACED.format(_HISTORY))
 def history(s, d):
-    return reads.history(events_log(s, d), KEY)
+    return _ordered(reads.history(events_log(s, d), KEY))
 
 
-@_query(f"{_HISTORY} AND version BETWEEN 100 AND {V}")
+@_query(_PLACED.format(f"{_HISTORY} AND version BETWEEN 100 AND {V}"))
 def history_range(s, d):
-    return reads.history(events_log(s, d), KEY, 100, V)
+    return _ordered(reads.history(events_log(s, d), KEY, 100, V))
 
 
-@_query(_HISTORY.replace("AS value FROM", "AS value, deleted FROM"))
+@_query(_PLACED.format(_HISTORY.replace("AS value FROM", "AS value, deleted FROM")))
 def history_with_tombstones(s, d):
-    return reads.history(events_log(s, d), KEY, tombstones=True)
+    return _ordered(reads.history(events_log(s, d), KEY, tombstones=True))
 
 
 @_query("SELECT count(*) AS entries FROM log")
@@ -208,8 +230,17 @@ def stats(s, d):
     return reads.stats(events_log(s, d))
 
 
-@_query("SELECT version, count(*) AS n FROM log GROUP BY version HAVING count(*) > 1")
+_SEVENTHS = "SELECT key, version // 7 AS version FROM log"
+
+
+@_query(f"SELECT version, count(*) AS n FROM ({_SEVENTHS}) GROUP BY version HAVING count(*) > 1")
 def version_uniqueness(s, d):
+    """A log in which up to seven events share a version."""
+    return reads.version_uniqueness(events_log(s, d).withColumn("version", F.expr("version div 7")))
+
+
+@_query("SELECT version, count(*) AS n FROM log GROUP BY version HAVING count(*) > 1")
+def version_uniqueness_of_events(s, d):
     return reads.version_uniqueness(events_log(s, d))
 
 
@@ -296,18 +327,38 @@ def z_lookup(s, d):
     return zfilters.z_lookup(log, log.agg(F.max("z")).first()[0]).select("key", "version", "z")
 
 
-@_query("SELECT key, version, z FROM zf", HASHED)
+@_query("SELECT key, version, z, row_number() OVER (ORDER BY z, version) - 1 AS place FROM zf", HASHED)
 def z_sort(s, d):
-    return zfilters.z_sort(_zf(s, d)).select("key", "version", "z")
+    """Written in z order: each row's place among all, from the partitions' sizes and the places in them."""
+    laid = zfilters.z_sort(_zf(s, d)).select("key", "version", "z").withColumn("at", F.monotonically_increasing_id())
+    _scratch(s)
+    laid = laid.checkpoint()
+    part = F.shiftrightunsigned("at", 33)
+    before, total = {}, 0
+    for k, n in sorted(laid.groupBy(part).count().collect()):
+        before[k], total = total, total + n
+    place = F.create_map(*[F.lit(x).cast("long") for kn in before.items() for x in kn])[part] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.select("key", "version", "z", place.alias("place"))
+
+
+_FORWARD, _BACKWARD = zfilters.z_ranges("user:1", "user:3", V), zfilters.z_ranges("user:3", "user:1", V)
 
 
-_LITERAL = zfilters.z_ranges("user:1", "user:3", V) or zfilters.z_ranges("user:3", "user:1", V)
+def _literal(ranges: list[tuple[int, int]]) -> str:
+    low, high = ranges[0] if ranges else (1, 0)
+    return f"SELECT key, value FROM {NEWEST.format(rows=f'zf WHERE version <= {V} AND z BETWEEN {low} AND {high}')}"
 
 
-@_query(f"SELECT key, value FROM {NEWEST.format(rows=f'zf WHERE version <= {V} AND z BETWEEN {_LITERAL[0][0]} AND {_LITERAL[0][1]}')}", HASHED)
+@_query(_literal(_FORWARD), HASHED)
 def tier_literal_scan(s, d):
     """The Z interval between two keys, then the newest row per key: a hash range, not a key range."""
-    return reads.snapshot(zfilters.z_range_scan(_zf(s, d), _LITERAL, V))
+    return reads.snapshot(zfilters.z_range_scan(_zf(s, d), _FORWARD, V))
+
+
+@_query(_literal(_BACKWARD), HASHED)
+def tier_literal_scan_backward(s, d):
+    """The same with the keys swapped: of the two, the one whose hashes are out of order is empty."""
+    return reads.snapshot(zfilters.z_range_scan(_zf(s, d), _BACKWARD, V))
 
 
 # Segments, compaction, tiers
@@ -318,14 +369,43 @@ def segment_stats(s, d):
     return compaction.segment_stats(_zf(s, d), "bucket")
 
 
-_SHARDS = "SELECT key_hash & 15 AS shard, count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max FROM zf GROUP BY 1"
+#: Rows a segment file in the queries on single files.
+_FILE_ROWS = 700
+
+
+def _cut_store(s, d) -> Store:
+    """A store of one file for each 700 rows in z order (one partition, so that SQL can tell the files)."""
+    store = Store(s, _scratch(s), StoreConfig(max_records_per_file=_FILE_ROWS))
+    store.load(events_log(s, d))
+    return store
 
 
-@_query(f"SELECT * FROM ({_SHARDS}) WHERE NOT (z_max < {1 << 58} OR z_min > {1 << 59})", HASHED)
+_BY_FILE = f"""SELECT 'hot' AS tier, count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max
+FROM (SELECT z, version, (row_number() OVER (ORDER BY z) - 1) // {_FILE_ROWS} AS file FROM zf) GROUP BY file"""
+
+
+@_query(_BY_FILE, HASHED)
+def list_segments(s, d):
+    """What the manifest says of each segment file."""
+    store = _one_part(s, lambda: _cut_store(s, d))
+    return store.list_segments().drop("path")
+
+
+@_query(f"SELECT * FROM ({_BY_FILE}) WHERE NOT (z_max < {1 << 58} OR z_min > {1 << 59})", HASHED)
 def find_segments(s, d):
-    """Segments (here: shards) whose Z range overlaps an interval."""
-    log = _zf(s, d).withColumn("shard", F.col("key_hash").bitwiseAND(F.lit(15).cast("long")))
-    return compaction.segment_stats(log, "shard").filter(~((F.col("z_max") < (1 << 58)) | (F.col("z_min") > (1 << 59))))
+    """Segment files whose Z range overlaps an interval."""
+    store = _one_part(s, lambda: _cut_store(s, d))
+    return store.described(store.find_segments(store.manifest().files, 1 << 58, 1 << 59)).drop("path")
+
+
+def _one_part(s: SparkSession, work):
+    """Range partitions are drawn from a sample; with one there is one way to cut files."""
+    before = s.conf.get("spark.sql.shuffle.partitions")
+    s.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        return work()
+    finally:
+        s.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @_query(
@@ -392,6 +472,32 @@ def delete_batch(s, d):
     return writes.delete_batch(log, _customers(s, d), _base(log), "c_custkey")
 
 
+#: Hashes that make up a wide value: 8 kB that do not compress, so that a batch fills several partitions.
+_WIDE = 128
+
+
+def _wide(s, d) -> DataFrame:
+    orders = s.read.parquet(f"{d}/orders.parquet")
+    value = F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda i: F.sha2(F.concat_ws("-", F.col("o_orderkey"), i).cast("binary"), 256)))
+    return orders.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), value.alias("value"), "o_orderkey")
+
+
+@_query(
+    f"SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS key, 7 + row_number() OVER (ORDER BY o_orderkey DESC) AS version, {64 * _WIDE} AS size, sha256(CAST(o_orderkey AS VARCHAR) || '-{_WIDE - 1}') AS tail FROM orders"
+)
+def put_batch_wide(s, d):
+    """Versions of a batch of 8 kB values, written in full over several partitions."""
+    puts = _wide(s, d).select("key", "value", (-F.col("o_orderkey")).alias("back"))
+    rows = writes.put_rows(puts, 7, "back")
+    return rows.select("key", "version", F.length("value").alias("size"), F.substring("value", 64 * (_WIDE - 1) + 1, 64).alias("tail"))
+
+
+@_query("SELECT 'order:' || CAST(o_orderkey AS VARCHAR) AS key, 7 + row_number() OVER (ORDER BY sha256(CAST(o_orderkey AS VARCHAR) || '-0')) AS version, TRUE AS deleted FROM orders")
+def delete_batch_wide(s, d):
+    """Tombstones numbered in the order of the wide values."""
+    return writes.delete_rows(_wide(s, d), 7, "value").select("key", "version", "deleted")
+
+
 @_query("SELECT key, version, value, deleted FROM log UNION ALL SELECT key, (SELECT max(version) FROM log) + 1, value, FALSE FROM (SELECT 'user:' || CAST(c_custkey % 50 AS VARCHAR) AS key, c_mktsegment AS value, row_number() OVER (PARTITION BY c_custkey % 50 ORDER BY c_custkey DESC) AS rn FROM customer) WHERE rn = 1")
 def txn_commit(s, d):
     log = events_log(s, d)
@@ -409,10 +515,18 @@ def txn_remove_if(s, d):
 # Store and stream
 
 
+def _delete_scratch(spark: SparkSession, path: str) -> None:
+    try:
+        _Files(spark).delete(path)
+    except Exception:  # the session has ended; the folder's owner cleans up
+        pass
+
+
 def _scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the checkpoint folder, or one of this machine where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{shared.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    atexit.register(_delete_scratch, spark, path)
+    return path
 
 
 @_query(f"SELECT key, value FROM {newest(V)}")
@@ -465,12 +579,99 @@ def store_compact(s, d):
     return store.log(tier="cold").select(*SCHEMA.names)
 
 
-@_query("SELECT count(*) AS rows, min(z) AS z_min, max(z) AS z_max, min(version) AS v_min, max(version) AS v_max FROM zf", HASHED)
-def list_segments(s, d):
-    """What the manifest says of all segment files together."""
+def _loaded(s, d) -> Store:
     store = Store(s, _scratch(s))
     store.load(events_log(s, d))
-    return store.list_segments().agg(F.sum("rows").alias("rows"), *[f(c).alias(c) for f, c in ((F.min, "z_min"), (F.max, "z_max"), (F.min, "v_min"), (F.max, "v_max"))])
+    return store
+
+
+@_query(f"SELECT key, version, value FROM {newest(V, _ASKED)}")
+def store_multi_get(s, d):
+    keys = s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user:"), F.col("c_custkey").cast("string")).alias("key"))
+    return _loaded(s, d).multi_get(keys, V)
+
+
+@_query(f"SELECT key, value, 'pinned' AS seen FROM {newest()} UNION ALL SELECT 'user:1', 'later', 'after'")
+def store_read_txn(s, d):
+    """Reads on the manifest that a transaction began with, beside what was written since."""
+    store = _loaded(s, d)
+    reader = store.begin_read()
+    store.put("user:1", "later")
+    return reader.snapshot().withColumn("seen", F.lit("pinned")).unionByName(store.scan("user:1", "user:1 ").withColumn("seen", F.lit("after")))
+
+
+@_query(f"{_HISTORY} AND version > {FLOOR}")
+def store_history_floor(s, d):
+    """History above the retention floor of a compacted store; one that begins below it is refused."""
+    store = _loaded(s, d)
+    store.compact(FLOOR)
+    try:
+        store.history(KEY, 1)
+    except VersionNotFound:
+        return store.history(KEY, min(FLOOR + 1, store.latest_version()))
+    return store.history(KEY).limit(0)
+
+
+@_query(f"SELECT key, version, value FROM {newest(None, f'version > {FLOOR}')} UNION ALL SELECT 'late', 1, 'late'")
+def store_late_rows(s, d):
+    """Rows at or below the floor of a compacted store are refused, or set aside when they come in a stream."""
+    store = _loaded(s, d)
+    store.compact(FLOOR)
+    late = s.createDataFrame([("late", 1, "late", False)], SCHEMA)
+    try:
+        store.append(lambda base: late)
+    except LateRows:
+        store.append(lambda base: late, stream=("late", 0))
+    live = reads.latest_per_key(store.changes(min(FLOOR, store.latest_version()))).select("key", "version", "value")
+    return live.unionByName(store.late_rows().select("key", "version", "value"))
+
+
+@_query(f"SELECT key, value FROM {newest()}")
+def store_vacuum(s, d):
+    """Compacted and vacuumed of all but the last manifest."""
+    store = _loaded(s, d)
+    store.compact(FLOOR)
+    store.vacuum(keep=1, grace=0)
+    return store.snapshot()
+
+
+@_query(f"SELECT key, version, z FROM zf WHERE z BETWEEN {1 << 58} AND {1 << 61} AND version <= {V}", HASHED)
+def store_z_range(s, d):
+    return _loaded(s, d).z_range_scan([(1 << 58, 1 << 61)], V).select("key", "version", "z")
+
+
+@_query("SELECT key, version, z FROM zf WHERE z = (SELECT max(z) FROM zf)", HASHED)
+def store_z_lookup(s, d):
+    store = _loaded(s, d)
+    return store.z_lookup(max((f["z_max"] for f in store.manifest().files), default=0)).select("key", "version", "z")
+
+
+@_query("SELECT count(*) AS entries, count(*) FILTER (deleted) AS tombstones, count(DISTINCT key) AS keys, min(version) AS first_version, max(version) AS latest_version FROM log")
+def store_stats(s, d):
+    return _loaded(s, d).stats()
+
+
+@_query(f"SELECT key, version, value, deleted FROM log WHERE version > 2000 AND version <= {V}")
+def store_changes(s, d):
+    return _loaded(s, d).changes(2000, V)
+
+
+@_query(f"SELECT key, value FROM {newest(FLOOR)}")
+def store_compact_range(s, d):
+    """Half of the files compacted at a floor; reads at it are as before."""
+    store = _cut_store(s, d)
+    store.compact(FLOOR, (0, 1 << 60))
+    return store.snapshot(min(FLOOR, store.latest_version()))
+
+
+@_query(f"SELECT hex(encode('a' || chr(0)) || from_hex('FF80')) AS key, hex(encode(value)) AS value FROM {newest(V)} WHERE key = '{KEY}'")
+def store_binary(s, d):
+    """Keys and values that are bytes and no UTF-8."""
+    store = Store(s, _scratch(s), StoreConfig(binary=True))
+    key = bytearray(b"a\x00\xff\x80")
+    log = events_log(s, d).filter(F.col("key") == KEY)
+    store.load(log.select(F.lit(key).alias("key"), "version", F.col("value").cast("binary").alias("value"), "deleted"))
+    return store.get(key, V).select(F.hex("key").alias("key"), F.hex("value").alias("value"))
 
 
 @_query(_compacted(FLOOR))

@@ -24,6 +24,9 @@ def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="tidemark", description="A versioned key-value store on Spark.")
     out.add_argument("--path", default="./tidemark-data")
     out.add_argument("--max-records-per-file", type=int, default=1_000_000)
+    out.add_argument("--segment-size", type=int, default=128, metavar="MB", help="bytes of a Parquet row group, in MB")
+    out.add_argument("--sync", action=argparse.BooleanOptionalAction, default=True, help="commits are always durable; --no-sync is refused")
+    out.add_argument("--cache-size", type=int, default=0, metavar="MB", help="0 only: segment files are cached by the system, not by the store")
     commands = out.add_subparsers(dest="command", required=True)
     for name, words in (
         ("get", ["key", "version?"]),
@@ -61,8 +64,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     if a.command == "version":
         print(f"tidemark {__version__}")
         return 0
+    if not a.sync or a.cache_size:
+        print("every commit is durable, and the store keeps no cache: --no-sync and --cache-size have no meaning here")
+        return 2
     spark = spark or SparkSession.builder.appName("tidemark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    store = Store(spark, a.path, StoreConfig(max_records_per_file=a.max_records_per_file))
+    store = Store(spark, a.path, StoreConfig(max_records_per_file=a.max_records_per_file, block_bytes=a.segment_size << 20))
     if a.command == "get":
         found = store.get(a.key, _number(a.version)).collect()
         print(found[0]["value"] if found else "Key not found")
@@ -86,7 +92,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     elif a.command == "compact":
         print(f"{store.compact(_number(a.floor))} rows")
     elif a.command == "stats":
-        print(f"latest version {store.latest_version()}, entries {store.tier_stats()}")
+        row = store.stats().first().asDict()
+        print(f"latest version {store.latest_version()}, tiers {store.tier_stats()}, " + ", ".join(f"{k} {v}" for k, v in row.items()))
     elif a.command == "benchmark":
         benchmark(store, _number(a.rows) or 100_000)
     return 0

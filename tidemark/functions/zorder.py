@@ -2,8 +2,10 @@
 
 A key's 32-bit hash takes the even bits of a 64-bit value, the version the odd
 ones.  For versions below 2**31 the value is a non-negative BIGINT, so signed
-order is Z order.  Everything here is arithmetic that whole-stage code
-generation compiles; each builder has a Python twin for literals and tests.
+order is Z order.  Spreading, gathering and encoding are arithmetic that whole-stage
+code generation compiles; the FNV hash folds over a key's bytes with a lambda, which
+it does not.  Keys are text (their UTF-8 bytes count) or bytes.  Each builder has a
+Python twin for literals and tests.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def z_greatest(key_hash: Column, version: int = 2**31 - 1) -> Column:
 
 def key_hash_le4(key: Column) -> Column:
     """The first four bytes, little-endian; shorter keys fold their bytes."""
-    raw = F.encode(key, "utf-8")
+    raw = key.cast("binary")
     size = F.octet_length(raw)
     digits = F.hex(raw)
     byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("long")
@@ -85,7 +87,7 @@ def key_hash_fnv(key: Column) -> Column:
 
     BIGINT products of 64 bits would overflow, so the hash runs on limbs.
     """
-    digits = F.hex(F.encode(key, "utf-8"))
+    digits = F.hex(key.cast("binary"))
     size = (F.length(digits) / 2).cast("int")
     # an empty key has no bytes: sequence(1, 0) would count down
     bytes_ = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(

@@ -9,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requested keys up to this many are sent to every task; more are joined by shuffling.
-MOST_BROADCAST = 100_000
-
 
 def visible(log: DataFrame, version: int | None = None) -> DataFrame:
     out = log.filter(F.col("version") > 0)
@@ -51,11 +48,10 @@ def get_by_hash(log: DataFrame, key: str, key_hash: int, version: int | None = N
 def multi_get(log: DataFrame, keys: DataFrame, version: int | None = None) -> DataFrame:
     """(key, version, value) of the requested keys that are live.
 
-    The requested keys are counted before they are broadcast.
+    The requested keys are made distinct by a shuffle, whose measured bytes let
+    adaptive execution broadcast them or not; there is no job before the join.
     """
-    asked = keys.select("key").distinct()
-    few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    hit = visible(log, version).join(F.broadcast(asked) if few else asked, "key", "left_semi")
+    hit = visible(log, version).join(keys.select("key").distinct(), "key", "left_semi")
     return latest_per_key(hit).select("key", "version", "value")
 
 
@@ -74,7 +70,7 @@ def scan_as_of(log: DataFrame, start: str | None = None, end: str | None = None,
 
 
 def prefix_scan(log: DataFrame, prefix: str, version: int | None = None) -> DataFrame:
-    return snapshot(log.filter(F.col("key").startswith(prefix)), version)
+    return snapshot(log.filter(F.startswith(F.col("key"), F.lit(prefix))), version)
 
 
 def history(log: DataFrame, key: str, start: int | None = None, end: int | None = None, tombstones: bool = False) -> DataFrame:
@@ -85,7 +81,8 @@ def history(log: DataFrame, key: str, start: int | None = None, end: int | None
     rows = visible(log, end).filter(F.col("key") == key)
     if start is not None:
         rows = rows.filter(F.col("version") >= start)
-    value = F.when(F.col("deleted"), "").otherwise(F.col("value")).alias("value")
+    nothing = F.lit("").cast(log.schema["value"].dataType)
+    value = F.when(F.col("deleted"), nothing).otherwise(F.col("value")).alias("value")
     return rows.select("version", value, *(["deleted"] if tombstones else [])).orderBy("version")
 
 

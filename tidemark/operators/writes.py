@@ -5,35 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_dir
+
+
+def laid_out(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in ranges of the order, sorted in each, and checkpointed.
+
+    A second job over a range partitioning may be dealt otherwise (its sample is
+    drawn anew, and adaptive execution joins other partitions together), so what
+    counts on partition numbers needs the rows to be laid down once.
+    """
+    shared_dir(rows.sparkSession)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+
 
 def numbered(batch: DataFrame, *order: str) -> DataFrame:
     """The batch with ``ordinal`` 1, 2, ... in the given order.
 
-    Rows are range partitioned and sorted; each partition numbers its own rows,
-    and the counts of the partitions before are added, so no task sees all rows.
+    Rows are laid out in ranges once; each partition numbers its own rows, and the
+    counts of the partitions before are added, so no task sees all rows.  Rows that
+    are equal in the order get numbers in no set order.
     """
-    laid = batch.repartitionByRange(*order).sortWithinPartitions(*order)
-    laid = laid.withColumn("__at", F.monotonically_increasing_id())
-    own = F.shiftrightunsigned("__at", 33).alias("__part")
-    counts = {r[0]: r[1] for r in laid.select(own).groupBy("__part").count().collect()}  # a row for each partition
+    laid = laid_out(batch, *order).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("__at", 33).cast("int")
+    counts = dict(laid.select(part.alias("part")).groupBy("part").count().collect())  # a row for each partition
     before, offsets = 0, []
-    for part in sorted(counts):
-        offsets += [F.lit(part).cast("long"), F.lit(before).cast("long")]
-        before += counts[part]
+    for k in range(max(counts, default=-1) + 1):
+        offsets.append(F.lit(before).cast("long"))
+        before += counts.get(k, 0)
     if not offsets:
         return laid.select(*batch.columns, F.lit(None).cast("long").alias("ordinal"))
     place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return laid.select(*batch.columns, (F.create_map(*offsets)[F.shiftrightunsigned("__at", 33)] + place + 1).alias("ordinal"))
+    return laid.select(*batch.columns, (F.array(*offsets)[part] + place + 1).alias("ordinal"))
 
 
 def put_rows(puts: DataFrame, base: int, *order: str) -> DataFrame:
     """Changelog rows of (key, value) with versions from ``base`` + 1."""
-    return numbered(puts, *(order or ("key",))).select("key", (F.col("ordinal") + base).alias("version"), "value", F.lit(False).alias("deleted"))
+    rows = numbered(puts.select(*dict.fromkeys(("key", "value", *order))), *(order or ("key",)))
+    return rows.select("key", (F.col("ordinal") + base).alias("version"), "value", F.lit(False).alias("deleted"))
 
 
 def delete_rows(keys: DataFrame, base: int, *order: str) -> DataFrame:
     """Tombstones of (key) with versions from ``base`` + 1, whether or not the keys exist."""
-    return numbered(keys, *(order or ("key",))).select("key", (F.col("ordinal") + base).alias("version"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("deleted"))
+    rows = numbered(keys.select(*dict.fromkeys(("key", *order))), *(order or ("key",)))
+    none = F.lit(None).cast(keys.schema["key"].dataType).alias("value")
+    return rows.select("key", (F.col("ordinal") + base).alias("version"), none, F.lit(True).alias("deleted"))
 
 
 def put_batch(log: DataFrame, puts: DataFrame, base: int, *order: str) -> DataFrame:

@@ -14,13 +14,20 @@ SCHEMA = T.StructType(
         T.StructField("deleted", T.BooleanType()),
     ]
 )
+
+
+def schema_of(binary: bool = False) -> T.StructType:
+    """The changelog's columns; keys and values are bytes if ``binary``."""
+    return T.StructType([T.StructField(f.name, T.BinaryType()) if binary and f.name in ("key", "value") else f for f in SCHEMA])
+
+
 #: Versions stay below this, so that Z values are non-negative.
 VERSION_LIMIT = 2**31
 
 
-def open_log(spark: SparkSession) -> DataFrame:
+def open_log(spark: SparkSession, binary: bool = False) -> DataFrame:
     """An empty changelog."""
-    return spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], schema_of(binary))
 
 
 def changelog(df: DataFrame, key: Column, version: Column, value: Column, deleted: Column) -> DataFrame:

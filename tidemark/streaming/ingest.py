@@ -1,9 +1,9 @@
 """Structured Streaming into a store: each micro-batch is one commit.
 
-A batch leaves a mark beside the manifests once it is committed, and a batch with
-a mark is not committed again.  (A failure between commit and mark repeats the
-batch's rows, which carry their versions, so reads are as before.)  Compaction
-runs between batches.
+The manifest of a commit says which batch of which stream it holds, so a batch that
+is repeated after a failure is not committed again.  A stream goes by the name of
+its checkpoint.  Rows at or below the retention floor come too late to be read; they
+are put in the store's ``late`` folder.  Compaction runs between batches.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.changelog import SCHEMA
 from ..sources.store import Store
 
 
@@ -23,11 +22,8 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, compact_over: int |
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        if str(number) not in store.files.names(f"{store.path}/batches"):
-            rows = batch.select(*SCHEMA.names)
-            if not rows.isEmpty():
-                store.append(lambda base: rows)
-            store.files.create(f"{store.path}/batches/{number}", "")
+        rows = batch.select(*store.names)
+        store.append(lambda base: rows, stream=(checkpoint, number))
         if compact_over is not None and store.tier_stats()["hot"] > compact_over:
             store.compact(floor)
 
