@@ -79,6 +79,14 @@ def unstage(*tables: DataFrame) -> None:
             _delete(_staged.pop(path), path)
 
 
+def refuse_clash(carried, added) -> None:
+    """Carried columns may not have the name of an added one, or begin with two underscores."""
+    taken = {c.lower() for c in added}
+    bad = [c for c in carried if c.lower() in taken or c.startswith("__") and c != "__doc"]
+    if bad:
+        raise ValueError(f"columns {', '.join(bad)} cannot be carried: {', '.join(added)} are added, and names with two underscores are taken")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, unless the session is stricter."""
     for key, most in (

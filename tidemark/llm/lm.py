@@ -5,21 +5,21 @@ frequent words have Huffman codes over their counts in the training documents,
 and any other word is an escape code followed by its bytes in a Huffman code of
 bytes.  So the bits' probabilities multiply to a probability of the text.
 
-A bit is predicted in several contexts: its place in the code alone, with the
-A bit is predicted in several contexts: its place in the code alone, with the
-word before, with the two before, and with the second one before (bytes: with
-one, two and three bytes before, and alone).  A context hashes to a slot that
-counts zeros and ones.  A context hashes to a slot that counts zeros
-and ones.  The predictions are mixed in the logistic domain; the weights are
-gated by how much the contexts have seen.  An adaptive map corrects the mix by
-what came of earlier predictions like it.
-
-Learning covers every training document.  A task reads its partition in
-batches and, for each, predicts with what it has counted so far, corrects
-weights and map by the errors, and then counts the batch.  Counts and maps of
-all tasks add up, in blocks; weights are averaged by the bits behind them.
-Word counts are exact.  Only the model has a bounded size: ``HEAD`` words with
-codes, ``2**TABLE_BITS`` slots for each context; it is what scoring broadcasts.
+A bit of a word is predicted in four contexts: its place in the code alone, with
+the word before, with the two before, and with the second one before; a bit of a
+spelled byte by its place, with one, two and three bytes before, and alone.  The
+predictions are mixed in the logistic domain; the weights are gated by how much
+the contexts have seen.  An adaptive map corrects the mix by what came of earlier
+predictions like it.
+
+These contexts hash to ``2**TABLE_BITS`` slots each, which every scorer holds.  What
+follows longer contexts lies in tables that grow with the corpus (``lm_passages``):
+there, one bit codes all words of a passage that other documents have.
+
+Learning covers every training document.  A task takes its documents in steps
+and, for each, predicts with what it has counted so far, corrects weights and map
+by the errors, and then counts the step.  Counts and maps of all tasks add up, in
+blocks; weights are averaged by the bits behind them.  Word counts are exact.
 """
 
 from __future__ import annotations
@@ -34,28 +34,36 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import small_batches, staged, text_of
+from . import lm_passages
+from ._common import refuse_clash, small_batches, staged, text_of
 
 END = b"\n"
-#: Words with codes of their own, and slots (as a power of two) for each context.
+#: Words with codes of their own, and slots (as a power of two) for each context of bounded size.
 HEAD, TABLE_BITS = 1 << 18, 20
-CONTEXTS, LEVELS, GATES = 4, 4, 32
+CONTEXTS, GATES = 4, 64
 MAP_STEPS, MAP_SETS = 33, 16
-#: Steps of a prediction, and tasks whose counts are first added up together.
-SCALE, TOGETHER = 256, 64
-#: Bits of one block of counts, and distinct words that a task holds before handing their counts on.
+#: Tasks whose counts are first added up together.
+TOGETHER = 64
+#: Numbers of one block of counts, and distinct words that a task holds before handing their counts on.
 BLOCK, HELD_WORDS = 1 << 14, 500_000
 RATE, START = 0.02, (1.0, 0.0, 0.0, 0.0)
 #: Tokens whose bits are worked on at a time.
-SLICE = 1 << 14
+SLICE = 1 << 13
 #: Tokens of a task's first step of learning.
 FIRST_STEP = 8000
+#: Steps of the mix a unit, and its largest value.
+MIX_STEPS, MIX_MOST = 64, 12
+#: The largest prediction of a slot, in the logistic domain.
+STRETCH_MOST = 8.0
+WAYS = 2 * MIX_STEPS * MIX_MOST + 1
 
 _ODD = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1)]
 
@@ -100,7 +108,11 @@ class Code:
         self.first, self.nodes, self.bits, self.kind, self.table_bits = first, nodes, bits, kind, table_bits
         self.sizes = np.diff(first)
         depth = np.arange(len(nodes)) - np.repeat(first[:-1], self.sizes)
-        self.sets = (np.minimum(depth, 7) + 8 * kind).astype(np.uint8)
+        sets = np.minimum(depth, 7) + 8 * kind
+        #: Where the row of a bit's set, with the bit that comes, begins in the final map.
+        self.way = ((2 * sets + bits) * WAYS).astype(np.int32)
+        #: The gate's part that a place decides: the kind, and whether three bits have come.
+        self.gate = (16 * kind + 32 * (depth > 2)).astype(np.uint8)
         self.base = (nodes + np.uint32(1)) * _ODD[0] + np.uint32(kind * 0x51ED27)
         self.shift = np.uint32(32 - table_bits)
         self.alone = self._slot(self.base * _ODD[1])
@@ -120,22 +132,26 @@ class Code:
         mixed >>= self.shift
         return mixed.astype(np.int64)
 
-    def spread(self, symbols: np.ndarray, contexts: list[np.ndarray | None]):
-        """Slots (a row for each context), bits, gate sets, and where each symbol's bits begin."""
+    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all bits of the symbols, their numbers of bits, and where each begins."""
         sizes = self.sizes[symbols]
         starts = np.cumsum(sizes) - sizes
         place = np.repeat(self.first[symbols] - starts, sizes)
         place += np.arange(len(place))
-        base, slots = self.base.take(place), []
+        return place, sizes, starts
+
+    def slots(self, place: np.ndarray, sizes: np.ndarray, contexts: list[np.ndarray | None]) -> list[np.ndarray]:
+        """A row of slots for each context; None is the place alone."""
+        base, out = self.base.take(place), []
         for context in contexts:
             if context is None:
-                slots.append(self.alone.take(place))
+                out.append(self.alone.take(place))
             else:
                 mixed = np.repeat(context, sizes)
                 mixed ^= base
                 mixed *= _ODD[1]
-                slots.append(self._slot(mixed))
-        return slots, self.bits.take(place), self.sets.take(place), starts
+                out.append(self._slot(mixed))
+        return out
 
 
 @dataclass
@@ -173,10 +189,12 @@ class Texts:
     """A batch of texts as word numbers end to end."""
 
     numbers: np.ndarray
-    owner: np.ndarray
     lengths: np.ndarray
     tail: list[bytes]
 
+    def __post_init__(self) -> None:
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
     @classmethod
     def of(cls, texts: list[str], codes: Codes) -> Texts:
         tokens, lengths = [], np.zeros(len(texts), dtype=np.int64)
@@ -186,12 +204,18 @@ class Texts:
             lengths[k] = len(own)
             tokens += own
         numbers = np.fromiter(map(codes.head.get, tokens, repeat(codes.escape)), dtype=np.int64, count=len(tokens))
-        tail = [tokens[k] for k in np.flatnonzero(numbers == codes.escape).tolist()]
-        return cls(numbers, np.repeat(np.arange(len(texts)), lengths), lengths, tail)
+        return cls(numbers, lengths, [tokens[k] for k in np.flatnonzero(numbers == codes.escape).tolist()])
+
+    def hashes(self, escape: int) -> np.ndarray:
+        """A 64-bit number of each word: of coded words by their numbers, of others by their bytes."""
+        out = lm_passages.mix(self.numbers.astype(np.uint64) + np.uint64(1))
+        out[self.numbers == escape] = np.fromiter(map(xxhash.xxh64_intdigest, self.tail), dtype=np.uint64, count=len(self.tail))
+        return out
 
 
 def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
-    """In slices: slots, bits, gate sets, where each symbol begins, and the symbols' owners."""
+    """In slices: slots, bits, rows of the final map, where each symbol begins, the
+    symbols' tokens (first number, or one for each), and the places' gates."""
     numbers = texts.numbers.astype(np.uint32) + np.uint32(1)
     begins = np.concatenate(([True], texts.owner[1:] != texts.owner[:-1])) if len(numbers) else np.zeros(0, dtype=bool)
     before = np.concatenate((np.zeros(1, dtype=np.uint32), numbers[:-1]))
@@ -200,13 +224,15 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
     second[begins] = 0
     for k in range(0, len(numbers), SLICE):
         own = slice(k, k + SLICE)
+        place, sizes, starts = codes.words.places(texts.numbers[own])
         one = before[own] * _ODD[3]
         contexts = [None, one, (one + np.uint32(7)) ^ (second[own] * _ODD[4]), second[own] * _ODD[1] + np.uint32(3)]
-        yield *codes.words.spread(texts.numbers[own], contexts), texts.owner[own]
+        slots = codes.words.slots(place, sizes, contexts)
+        yield slots, codes.words.bits.take(place), codes.words.way.take(place), starts, np.arange(k, k + len(starts)), codes.words.gate.take(place)
     if texts.tail:
         spelled = np.frombuffer(END.join(texts.tail) + END, dtype=np.uint8)
         sizes = np.fromiter(map(len, texts.tail), dtype=np.int64, count=len(texts.tail)) + 1
-        owner = np.repeat(texts.owner[texts.numbers == codes.escape], sizes)
+        token = np.repeat(np.flatnonzero(texts.numbers == codes.escape), sizes)
         past = [np.concatenate((np.full(k, 10, dtype=np.uint32), spelled[:-k].astype(np.uint32)))[: len(spelled)] for k in (1, 2, 3)]
         past[1][past[0] == 10] = 10
         past[2][past[1] == 10] = 10
@@ -214,84 +240,91 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
             own = slice(k, k + 2 * SLICE)
             a, b, c = (x[own] for x in past)
             contexts = [a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1], None]
-            yield *codes.letters.spread(spelled[own].astype(np.int64), contexts), owner[own]
-
-
-@dataclass
-class Model:
-    """What scoring needs: each slot's prediction and evidence, weights, map."""
-
-    slots: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray
-
-    @classmethod
-    def of(cls, total: np.ndarray, ones: np.ndarray, weights: np.ndarray, seen: np.ndarray, came: np.ndarray) -> Model:
-        centre = 1 / (1 + np.exp(-_steps()))
-        return cls(evidence(total, ones), weights.astype(np.float32), ((came + 8 * centre) / (seen + 8)).astype(np.float32))
+            place, sizes, starts = codes.letters.places(spelled[own].astype(np.int64))
+            slots = codes.letters.slots(place, sizes, contexts)
+            yield slots, codes.letters.bits.take(place), codes.letters.way.take(place), starts, token[own], codes.letters.gate.take(place)
 
 
 def evidence(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """By slot, in one number: the prediction in the logistic domain, in steps of 1/256, and two bits of how much was seen."""
+    """By slot, in a byte: six bits of the prediction in the logistic domain, two of how much was seen."""
     stretched = np.log((ones + np.float32(0.4)) / (total - ones + np.float32(0.4)), dtype=np.float32)
-    level = (total > 0).astype(np.int16) + (total > 2) + (total > 15)
-    return (np.rint(np.clip(stretched, -30, 30) * SCALE).astype(np.int16) << 2) | level.astype(np.int16)
+    steps = np.rint(np.clip(stretched, -STRETCH_MOST, STRETCH_MOST) * np.float32(31 / STRETCH_MOST)).astype(np.int8) + np.int8(32)
+    level = (total > 0).astype(np.uint8) + (total > 2) + (total > 15)
+    return steps.astype(np.uint8) << np.uint8(2) | level.astype(np.uint8)
 
 
 def first_weights() -> np.ndarray:
     """The code's place alone for words, two bytes before for spelling."""
     weights = np.repeat(np.array(START, dtype=np.float32)[:, None], GATES, axis=1)
-    weights[:, GATES // 2 :] = np.array([[0.3], [0.5], [0.2], [0.0]], dtype=np.float32)
+    spelling = np.arange(GATES) & 16 > 0
+    weights[:, spelling] = np.array([[0.3], [0.5], [0.2], [0.0]], dtype=np.float32)
     return weights
 
 
-def _steps() -> np.ndarray:
-    return np.linspace(-8, 8, MAP_STEPS)
+_STRETCH = (((np.arange(256) >> 2) - 32) * (STRETCH_MOST / 31)).astype(np.float32)
 
 
-def mixed(slots, sets, known, weights):
-    """Inputs (in steps of 1/256), gates and the mix, in the logistic domain."""
-    seen = [known[k].take(slots[k], mode="clip") for k in range(CONTEXTS)]
+def parts_of(weights: np.ndarray) -> list[np.ndarray]:
+    """By context: what a gate and a byte of evidence add to the mix."""
+    return [(weights[k][:, None] * _STRETCH[None, :]).astype(np.float32).ravel() for k in range(CONTEXTS)]
+
+
+def mixed(slots, gate: np.ndarray, known: np.ndarray, parts: list[np.ndarray]):
+    """Rows of gate and evidence by context, gates, and the mix in steps, as indexes of the final map's rows."""
+    seen = [known[k].take(row, mode="clip") for k, row in enumerate(slots)]
     gates = (seen[2] & 3) << 2
     gates |= seen[1] & 3
-    gates |= (sets & 8).astype(np.int16) << 1
-    gates = gates.astype(np.int64)
-    inputs, mix = [], None
+    gates |= gate
+    high, rows, total = gates.astype(np.int64) << 8, [], None
     for k in range(CONTEXTS):
-        seen[k] >>= 2
-        inputs.append(seen[k].astype(np.float32))
-        part = (weights[k] * np.float32(1 / SCALE)).take(gates, mode="clip")
-        part *= inputs[k]
-        mix = part if mix is None else np.add(mix, part, out=mix)
-    return inputs, gates, np.clip(mix, -12, 12, out=mix)
+        row = high | seen[k]
+        rows.append(row)
+        part = parts[k].take(row, mode="clip")
+        total = part if total is None else np.add(total, part, out=total)
+    np.clip(total, -MIX_MOST, MIX_MOST, out=total)
+    total *= np.float32(MIX_STEPS)
+    total += np.float32(MIX_STEPS * MIX_MOST + 0.5)
+    return rows, gates, total.astype(np.int32)
+
+
+def _chances() -> np.ndarray:
+    """The chance of a one at each step of the mix."""
+    return 1 / (1 + np.exp(-(np.arange(WAYS) / MIX_STEPS - MIX_MOST)))
 
 
-def _cell(mix, sets):
-    at = mix * np.float32((MAP_STEPS - 1) / 16)
-    at += np.float32((MAP_STEPS - 1) / 2 + 0.5)
-    np.clip(at, 0, MAP_STEPS - 1, out=at)
-    return at.astype(np.int64) + sets.astype(np.int64) * MAP_STEPS
+_CHANCE = _chances().astype(np.float32)
+#: The map's step of each step of the mix.
+_CELL = np.clip(np.rint((np.arange(WAYS) / MIX_STEPS - MIX_MOST) * (MAP_STEPS - 1) / 16 + (MAP_STEPS - 1) / 2), 0, MAP_STEPS - 1).astype(np.int64)
 
 
-def _chance(mix):
-    p = np.exp(-mix)
-    p += 1
-    return np.reciprocal(p, out=p)
+@dataclass
+class Model:
+    """What scoring needs: each slot's evidence, weights, and the final map (by set, bit that comes, step of the mix)."""
+
+    slots: np.ndarray
+    weights: np.ndarray
+    final: np.ndarray
+
+    @classmethod
+    def of(cls, total: np.ndarray, ones: np.ndarray, weights: np.ndarray, seen: np.ndarray, came: np.ndarray) -> Model:
+        centre = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP_STEPS)))
+        refined = ((came + 8 * centre) / (seen + 8)).astype(np.float32)
+        one = (_CHANCE[None, :] + refined[:, _CELL]) / 2
+        return cls(evidence(total, ones), weights.astype(np.float32), np.stack((1 - one, one), axis=1).ravel())
 
 
 def costs(texts: Texts, codes: Codes, model: Model) -> np.ndarray:
-    """Bits of each text."""
-    out = np.zeros(len(texts.lengths))
-    refined = model.refined.ravel()
-    for slots, bits, sets, starts, owner in bits_of(texts, codes):
-        _, _, mix = mixed(slots, sets, model.slots, model.weights)
-        p = _chance(mix)
-        p += refined.take(_cell(mix, sets), mode="clip")
-        p *= np.float32(0.5)
-        # the chance of the bit that came: p for one, 1 - p for zero
-        np.subtract(1, p, out=p, where=bits == 0)
-        np.log2(p, out=p)
-        out -= np.bincount(owner, weights=np.add.reduceat(p, starts, dtype=np.float64), minlength=len(out))
+    """Bits of each token."""
+    out, parts = np.zeros(len(texts.numbers)), parts_of(model.weights)
+    for slots, _, way, starts, token, gate in bits_of(texts, codes):
+        _, _, at = mixed(slots, gate, model.slots, parts)
+        at += way
+        chances = np.multiply.reduceat(model.final.take(at, mode="clip").astype(np.float64), starts)
+        bits = -np.log2(chances)
+        if len(token) and len(token) == token[-1] - token[0] + 1:  # a symbol each
+            out[token[0] : token[-1] + 1] += bits
+        else:
+            out += np.bincount(token, weights=bits, minlength=len(out))
     return out
 
 
@@ -304,8 +337,9 @@ class Learner:
         self.counts = np.zeros((CONTEXTS, 2 * size), dtype=np.int64)
         self.weights = first_weights()
         self.weighed = np.zeros(GATES)
-        self.seen, self.came = np.zeros(MAP_SETS * MAP_STEPS), np.zeros(MAP_SETS * MAP_STEPS)
-        self.bits = self.tokens = 0
+        #: By set, bit that came and step of the mix.
+        self.came = np.zeros(2 * MAP_SETS * WAYS, dtype=np.int64)
+        self.tokens = 0
         self.evident = evidence(*self._tables())
 
     def _tables(self) -> tuple[np.ndarray, np.ndarray]:
@@ -328,39 +362,50 @@ class Learner:
 
     def learn(self, texts: Texts) -> None:
         met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
-        for slots, bits, sets, _, _ in bits_of(texts, self.codes):
-            inputs, gates, mix = mixed(slots, sets, self.evident, self.weights)
-            error = bits - _chance(mix)
+        parts = parts_of(self.weights)
+        for slots, bits, way, _, _, gate in bits_of(texts, self.codes):
+            rows, gates, at = mixed(slots, gate, self.evident, parts)
+            error = bits - _CHANCE.take(at, mode="clip")
             hits = np.bincount(gates, minlength=GATES)
-            rate = RATE / SCALE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
+            rate = RATE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
             for k in range(CONTEXTS):
-                inputs[k] *= error
-                self.weights[k] += rate * np.bincount(gates, weights=inputs[k], minlength=GATES)
+                by_byte = np.bincount(rows[k], weights=error, minlength=256 * GATES).reshape(GATES, 256)
+                self.weights[k] += rate * (by_byte @ _STRETCH)
+            parts = parts_of(self.weights)
             self.weighed += hits
-            cell = _cell(mix, sets)
-            cell *= 2
-            cell += bits
-            either = np.bincount(cell, minlength=2 * len(self.seen)).reshape(-1, 2)
-            self.seen += either.sum(axis=1)
-            self.came += either[:, 1]
-            self.bits += len(bits)
-            for k in range(CONTEXTS):
-                both = slots[k]
-                both *= 2
-                both += bits
-                met[k].append(both)
+            at += way
+            self.came += np.bincount(at, minlength=len(self.came))
+            for k, row in enumerate(slots):
+                row *= 2
+                row += bits
+                met[k].append(row)
         for k in range(CONTEXTS):
-            fresh = np.bincount(np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64), minlength=self.counts.shape[1])
-            self.counts[k] += fresh
-            # predictions follow the counts at once, in the slots that were met
-            at = np.flatnonzero(fresh.reshape(-1, 2).any(axis=1))
-            pairs = self.counts[k].reshape(-1, 2)[at].astype(np.float32)
-            self.evident[k][at] = evidence(pairs.sum(axis=1), pairs[:, 1])
+            self._count(k, np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64))
+
+    def _count(self, k: int, met: np.ndarray) -> None:
+        """Count bits of a context; predictions follow at once, in the slots that were met."""
+        counts = self.counts[k]
+        if 16 * len(met) < len(counts):  # few of the slots: touch those only
+            both, times = np.unique(met, return_counts=True)
+            counts[both] += times
+            at = np.unique(both >> 1)
+        else:
+            fresh = np.bincount(met, minlength=len(counts))
+            counts += fresh
+            at = np.flatnonzero(fresh[::2] | fresh[1::2])
+        zeros, ones = counts[2 * at].astype(np.float32), counts[2 * at + 1].astype(np.float32)
+        self.evident[k][at] = evidence(zeros + ones, ones)
+
+    def map_counts(self) -> np.ndarray:
+        """By set and step of the map: bits seen, then ones among them."""
+        came = self.came.reshape(MAP_SETS, 2, WAYS)
+        by_step = np.stack([[np.bincount(_CELL, weights=came[s, b], minlength=MAP_STEPS) for b in range(2)] for s in range(MAP_SETS)])
+        return np.concatenate((by_step.sum(axis=1).ravel(), by_step[:, 1].ravel()))
 
     def rows(self) -> Iterator[tuple[int, np.ndarray]]:
         """Blocks to be added up: key, numbers."""
         yield -1, np.concatenate(((self.weights * self.weighed).ravel(), self.weighed))
-        yield -2, np.concatenate((self.seen, self.came))
+        yield -2, self.map_counts()
         flat = self.counts.ravel()
         for key, k in enumerate(range(0, len(flat), BLOCK)):
             part = flat[k : k + BLOCK]
@@ -383,6 +428,22 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.float64)
 
 
+def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words above the least count that at most ``most`` words have.
+
+    Words met once are left out: spelling them teaches how new words are spelled,
+    and their share is that of new words to come.
+    """
+    counts = counts.filter("c > 1")
+    step = F.floor(F.log2("c") * 16).cast("int")
+    rows, chosen, least = dict(counts.groupBy(step.alias("s")).count().collect()), 0, None
+    for s in sorted(rows, reverse=True):
+        if chosen + rows[s] > most:
+            break
+        chosen, least = chosen + rows[s], s
+    return [] if least is None else [(bytes(w), c) for w, c in counts.filter(step >= least).select("word", "c").collect()]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
@@ -404,26 +465,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(training: DataFrame) -> DataFrame:
     """(word, c) over all training texts; the end is a word of its own."""
-    counted = training.select("text").mapInArrow(_count_words, "word binary, n long")
+    counted = training.select("__text").mapInArrow(_count_words, "word binary, n long")
     return staged(counted.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
 
 
-def _head(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words above the least count that at most ``most`` words have.
-
-    Words met once are left out: spelling them teaches how new words are spelled,
-    and their share is that of new words to come.
-    """
-    counts = counts.filter("c > 1")
-    step = F.floor(F.log2("c") * 16).cast("int")
-    rows, chosen, least = dict(counts.groupBy(step.alias("s")).count().collect()), 0, None
-    for s in sorted(rows, reverse=True):
-        if chosen + rows[s] > most:
-            break
-        chosen, least = chosen + rows[s], s
-    return [] if least is None else [(bytes(w), c) for w, c in counts.filter(step >= least).select("word", "c").collect()]
-
-
 def _learn(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = None
@@ -431,7 +476,7 @@ def _learn(shared):
             learner = learner or Learner(shared.value)
             learner.learn_all(batch.column(0).to_pylist())
         at = TaskContext.get()
-        salt = (at.partitionId() if at else 0) // TOGETHER
+        salt = at.partitionId() if at else 0
         for key, values in learner.rows() if learner else ():
             yield pa.record_batch([pa.array([key], pa.int32()), pa.array([salt], pa.int32()), pa.array([_pack(values)], pa.binary())], names=["key", "salt", "data"])
 
@@ -446,10 +491,16 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(training: DataFrame, codes: Codes, shared) -> Model:
-    """A model from all training texts; ``shared`` is the broadcast of the codes."""
+    """A model from all training texts; ``shared`` is the broadcast of the codes.
+
+    Tasks' blocks are added up ``TOGETHER`` at a time, level by level.
+    """
     shape = "key int, salt int, data binary"
-    added = training.select("text").mapInArrow(_learn(shared), shape).groupBy("key", "salt").applyInPandas(_add, shape)
-    added = added.groupBy("key").applyInPandas(_add, shape)
+    added = training.select("__text").mapInArrow(_learn(shared), shape)
+    groups = training.rdd.getNumPartitions()
+    while groups > 1:
+        added = added.withColumn("salt", F.floor(F.col("salt") / TOGETHER).cast("int")).groupBy("key", "salt").applyInPandas(_add, shape)
+        groups = -(-groups // TOGETHER)
     size = CONTEXTS << codes.table_bits
     both, weights, seen = np.zeros(2 * size, dtype=np.float32), first_weights(), np.zeros(2 * MAP_SETS * MAP_STEPS)
     for key, _, data in added.collect():  # a row for each block of tables of fixed size
@@ -467,38 +518,49 @@ def train(training: DataFrame, codes: Codes, shared) -> Model:
     return Model.of(tables[:, :, 0] + tables[:, :, 1], np.ascontiguousarray(tables[:, :, 1]), weights, seen[0], seen[1])
 
 
-def _score(shared, learned):
+_PASSAGE = T.StructType([*[T.StructField(n, T.LongType()) for n in ("context", "passage", "times")], T.StructField("bits", T.DoubleType())])
+
+
+def _score(shared, learned, schema: pa.Schema):
+    inner = schema.field("__passages").type.value_type
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, model = shared.value, learned.value
         logs, known = np.append(np.log10(codes.counts + 1.0), 0.0), np.append(codes.counts > 0, False)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            own = Texts.of(texts, codes)
-            add = lambda values, n=len(texts), own=own: np.bincount(own.owner, weights=values[own.numbers], minlength=n)
+            own, n = Texts.of(texts, codes), len(texts)
+            add = lambda values, own=own, n=n: np.bincount(own.owner, weights=values[own.numbers], minlength=n)
             bits, tails, times = costs(own, codes, model), [], []
-            owners = own.owner[own.numbers == codes.escape]
-            cuts = np.searchsorted(owners, np.arange(len(texts) + 1)).tolist()
+            cuts = np.searchsorted(own.owner[own.numbers == codes.escape], np.arange(n + 1)).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 words = Counter(own.tail[a:b])
                 tails.append(list(words))
                 times.append(list(words.values()))
-            yield pa.record_batch(
-                [
-                    *[batch.column(k) for k in range(batch.num_columns - 1)],
-                    pa.array(own.lengths, pa.int64()),
-                    pa.array(add(known).astype(np.int64), pa.int64()),
-                    pa.array(add(logs), pa.float64()),
-                    pa.array(bits, pa.float64()),
-                    pa.array([len(x.encode()) for x in texts], pa.int64()),
-                    pa.array(tails, pa.list_(pa.binary())),
-                    pa.array(times, pa.list_(pa.int64())),
-                ],
-                names=[*batch.schema.names[:-1], "n_tokens", "known", "logs", "bits", "bytes", "tail", "times"],
-            )
+            first, last, context, whole = lm_passages.passages(own.hashes(codes.escape), own.owner)
+            sums = np.concatenate(([0.0], np.cumsum(bits)))
+            text, *found = lm_passages.by_document(own.owner[first], context, whole, sums[last] - sums[first])
+            columns = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in found]
+            passages = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(inner)))
+            made = [
+                pa.array(own.lengths, pa.int64()),
+                pa.array(add(known).astype(np.int64), pa.int64()),
+                pa.array(add(logs), pa.float64()),
+                pa.array(np.bincount(own.owner, weights=bits, minlength=n), pa.float64()),
+                pa.array([len(x.encode()) for x in texts], pa.int64()),
+                pa.array(tails, pa.list_(pa.binary())),
+                pa.array(times, pa.list_(pa.int64())),
+                passages,
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(batch.num_columns - 1)], *made], schema=schema)
 
     return run
 
 
+#: The columns that scoring adds.
+ADDED = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def score(
     documents: DataFrame,
     held_out,
@@ -512,14 +574,20 @@ def score(
     counts), ``score`` (log10 under the model) and ``bits_per_byte``.
 
     ``held_out`` is a boolean Column; where it is true (or null) a document is not
-    learned from.  A null text is an empty one: its end is its only token.
-    With nothing to learn from, every word is spelled.  Repeated rows count as
-    often as they occur.  Columns that are not named are not read.
+    learned from.  A training document is coded with the passages of all other
+    training documents, so that its score can be compared with that of a held-out
+    one; ``base_score`` counts it in.  A null text is an empty one: its end
+    is its only token.  With nothing to learn from, every word is spelled.  Repeated
+    rows count as often as they occur.  Columns that are not named are not read; a
+    carried column may not have the name of an added one or begin with two
+    underscores (``ValueError``).
     """
+    refuse_clash(carry, ADDED)
     spark = documents.sparkSession
     small_batches(spark)
-    rows = documents.select(*[documents[c] for c in carry], F.coalesce(held_out, F.lit(True)).alias("held_out"), text_of(documents, text_column).alias("text"))
-    training = rows.filter(~F.col("held_out"))
+    held = F.coalesce(held_out, F.lit(True)).alias("__held")
+    rows = documents.select(*[documents[c] for c in carry], held, text_of(documents, text_column).alias("__text"))
+    training = rows.filter(~F.col("__held"))
     counts = word_counts(training)
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = min(table_bits, max(14, int(total * 4).bit_length()))
@@ -528,26 +596,30 @@ def score(
     shared = spark.sparkContext.broadcast(codes)
     model = spark.sparkContext.broadcast(train(training, codes, shared))
     schema = T.StructType(
-        [documents.schema[c] for c in carry]
-        + [T.StructField("held_out", T.BooleanType()), T.StructField("row", T.LongType())]
-        + [T.StructField(n, T.LongType()) for n in ("n_tokens", "known")]
-        + [T.StructField(n, T.DoubleType()) for n in ("logs", "bits")]
-        + [T.StructField("bytes", T.LongType()), T.StructField("tail", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
+        [T.StructField(c, documents.schema[c].dataType) for c in carry]
+        + [T.StructField("__held", T.BooleanType()), T.StructField("__row", T.LongType())]
+        + [T.StructField(n, T.LongType()) for n in ("__tokens", "__known")]
+        + [T.StructField(n, T.DoubleType()) for n in ("__logs", "__bits")]
+        + [T.StructField("__bytes", T.LongType()), T.StructField("__tail", T.ArrayType(T.BinaryType())), T.StructField("__times", T.ArrayType(T.LongType()))]
+        + [T.StructField("__passages", T.ArrayType(_PASSAGE))]
     )
-    numbered = rows.select(*carry, "held_out", F.monotonically_increasing_id().alias("row"), "text")
-    scored = staged(numbered.mapInArrow(_score(shared, model), schema), "lm-scored")
+    numbered = rows.select(*carry, "__held", F.monotonically_increasing_id().alias("__row"), "__text")
+    scored = staged(numbered.mapInArrow(_score(shared, model, to_arrow_schema(schema)), schema), "lm-scored")
     # words without codes: their counts come by a join; none of them is frequent
-    tails = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-    met = tails.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    tails = scored.select("__row", F.explode(F.arrays_zip("__tail", "__times")).alias("t")).select("__row", F.col("t.__tail").alias("word"), F.col("t.__times").alias("n"))
+    met = tails.join(counts.hint("merge"), "word").groupBy("__row").agg(F.sum("n").alias("__more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("__more_logs"))
+    changed = lm_passages.coded(scored.select(F.col("__row").alias("row"), F.col("__held").alias("held"), F.explode("__passages").alias("p")).select("row", "held", "p.*"))
+    changed = changed.select(F.col("row").alias("__row"), F.col("bits").alias("__change"))
+    out = scored.drop("__tail", "__times", "__passages").join(met.hint("merge"), "__row", "left").join(changed.hint("merge"), "__row", "left")
+    out = out.withColumn("__bits", F.col("__bits") + F.coalesce("__change", F.lit(0.0)))
     below = float(np.log10(total + 1.0 * (distinct + 1)))
-    out = scored.drop("tail", "times").join(met, "row", "left")
     return out.select(
         *carry,
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        F.col("__held").alias("held_out"),
+        F.col("__tokens").alias("n_tokens"),
+        (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"),
-        (-F.col("bits") * float(np.log10(2))).alias("score"),
-        F.when(F.col("bytes") > 0, F.col("bits") / F.col("bytes")).alias("bits_per_byte"),
+        (F.col("__logs") + F.coalesce("__more_logs", F.lit(0.0)) - F.col("__tokens") * below).alias("base_score"),
+        (-F.col("__bits") * float(np.log10(2))).alias("score"),
+        F.when(F.col("__bytes") > 0, F.col("__bits") / F.col("__bytes")).alias("bits_per_byte"),
     )
