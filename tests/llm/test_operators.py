@@ -60,20 +60,23 @@ def json_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_encoder_equals_the_tokenizers_file(rows):
     t = json_tokenizer()
     r = random.Random(1)
     texts = [x[1] or "" for x in rows] + ["".join(r.choice("ab AB1 2'st\n\t\u00a0\u2003é日<|endoftext|>.,!😀") for _ in range(40)) for _ in range(300)]
-    texts += ["a" * 20000, " " * 20000, "\n" * 5000 + "x"]
+    texts += ["a" * 20000, " " * 20000, "\n" * 5000 + "x", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>\n \n<|endoftext|>"]
     for text in texts:
         assert tokens.encode(text, tokens.default_vocabulary(), tokens.default_pattern()).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000 + "x", "one " + "\t" * 1_000_000 + " two", "-" * 1_000_000 + " end"])
+def test_encoder_on_long_runs(text):
+    assert tokens.encode(text, tokens.default_vocabulary(), tokens.default_pattern()).tolist() == json_tokenizer().encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_closest_multiset_is_optimal(seed):
     r = random.Random(seed)
