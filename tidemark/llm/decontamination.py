@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, staged, text_of
+from ._common import refuse_clash, small_batches, staged, text_of
 
 WINDOW, SHINGLE = 10, 5
 #: Benchmark text of one block, in characters; an index takes about ten times that in memory.
@@ -220,7 +220,7 @@ def _indexed(spark: SparkSession, slim: DataFrame, block: DataFrame):
         return spark.sparkContext.broadcast(index)
     first = spark.sparkContext.broadcast(index)
     counted = (
-        slim.select("text").mapInArrow(_counter(first), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
+        slim.select("__text").mapInArrow(_counter(first), "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
     )
     counts = {s: np.zeros(len(x), dtype=np.int64) for s, x in index.shingles.items()}
     for size, shingle, n in counted.collect():  # one row for each benchmark shingle at most
@@ -245,11 +245,13 @@ def decontaminate(
     Null and empty texts have no words; an item without words has no window.  An
     item with a null id hits but is not listed.  Equal items are one window set
     with all their ids.  Documents that repeat are matched row by row.  Columns
-    that are not named are not read.
+    that are not named are not read; a carried column may not have the name of an
+    added one or begin with two underscores (``ValueError``).
     """
+    refuse_clash(carry, ("n_words", "hit_spans", "items", "n_hit"))
     spark = documents.sparkSession
     small_batches(spark)
-    slim = documents.select(*[documents[c] for c in carry], text_of(documents, text_column).alias("text"))
+    slim = documents.select(*[documents[c] for c in carry], text_of(documents, text_column).alias("__text"))
     blocks = _blocks(benchmark, item_column, item_text_column, max_index_chars)
     made = [
         T.StructField("n_words", T.LongType()),
@@ -264,7 +266,7 @@ def decontaminate(
         keyed = T.StructType([T.StructField("__row", T.LongType()), *schema])
         parts = None
         for block in blocks:
-            part = rows.select("__row", *carry, "text").mapInArrow(_matcher(_indexed(spark, rows, block), len(carry) + 1), keyed)
+            part = rows.select("__row", *carry, "__text").mapInArrow(_matcher(_indexed(spark, rows, block), len(carry) + 1), keyed)
             parts = part if parts is None else parts.unionByName(part)
         merged = parts.groupBy("__row").agg(
             *[F.first(c).alias(c) for c in (*carry, "n_words")],

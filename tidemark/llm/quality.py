@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import small_batches, text_of
+from ._common import refuse_clash, small_batches, text_of
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -168,8 +168,10 @@ def judge(
     ``n_repeat_words`` compares windows by 64-bit hashes.  A null text has no
     words and fails for having too few, as an empty one does.  Repeated rows
     and null ids are judged row by row.  Only the carried columns and the text
-    are read; a carried column may not have the name of a made one.
+    are read; a carried column may not have the name of a made one or begin with
+    two underscores (``ValueError``).
     """
+    refuse_clash(carry, [f.name for f in _MADE])
     small_batches(documents.sparkSession)
     made = _MADE if with_text else _MADE[:-1]
     schema = T.StructType([documents.schema[c] for c in carry] + made)

@@ -52,7 +52,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.substring("payload_digest", 8, 64)).alias("payload_digest"),
         "record_type",
-        F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+)>$', 1) AS bigint) AS refers_to"),
+        F.expr("try_cast(regexp_extract(refers_to, '^<urn:page:(-?[0-9]+):', 1) AS bigint) AS refers_to"),
     )
 
 
@@ -63,10 +63,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import score, train
+    from .toxicity import score, severity, train
 
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    return score(documents, train(documents, labels, F.col("toxic"), 2, by_extent=True))
+    return score(documents, train(documents, labels, severity(F.col("toxic"), F.col("quality")), 3))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import tokens
-from ._common import small_batches, text_of
+from ._common import refuse_clash, small_batches, text_of
 
 #: Distinct (group, length) pairs that a task holds before handing their counts on.
 HELD = 100_000
@@ -55,8 +55,11 @@ def length_histogram(
     """(by..., ``n_tokens``, ``docs``): documents by encoded length.
 
     A null text counts as an empty one, of length 0; a null group is a group of
-    its own; repeated rows count each.  An empty table has no rows.
+    its own; repeated rows count each.  An empty table has no rows.  A group may
+    not be named ``n_tokens`` or ``docs`` or begin with two underscores
+    (``ValueError``); further columns are not read.
     """
+    refuse_clash(by, ("n_tokens", "docs"))
     small_batches(documents.sparkSession)
     slim = documents.select(*[documents[c] for c in by], text_of(documents, text_column).alias("__text"))
     schema = T.StructType([documents.schema[c] for c in by] + [T.StructField("n_tokens", T.LongType()), T.StructField("docs", T.LongType())])

@@ -8,12 +8,9 @@ Features are the presence of a word (A-Z in lower case) and of a word's first
 three to six letters.  Those that the labelled documents use no differently
 across grades are screened out by a two-proportion z statistic.
 
-Where labels only say toxic or not, the toxic ones get grade 1 or, with more of
-the kept features than the median toxic document has, grade 2 (``by_extent``).
-
 Features are counted and screened over all labelled documents, and as many are
 kept as pass.  Only the weights are fitted on a sample of at most ``SAMPLE``
-labelled documents, chosen by a hash of the id; scoring covers every document.
+labelled rows, chosen by a hash of the id; scoring covers every document.
 """
 
 from __future__ import annotations
@@ -28,14 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import small_batches, staged, text_of
+from ._common import refuse_clash, small_batches, staged, text_of
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 20_000
 LEAST_Z, LEAST_DOCS = 6.0, 5
-#: A document is called toxic from this probability of any grade above 0.
-TOXIC_FROM = 0.35
-STEPS, RATE, RIDGE = 400, 0.05, 1e-3
+#: A grade counts as reached from this probability of it or a higher one.
+REACHED_FROM = 0.35
+#: Steps of the fit at most, gradients it remembers, and the ridge.
+STEPS, MEMORY, RIDGE = 80, 10, 1e-3
 _PREFIXES = (3, 4, 5, 6)
 _FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else 32 if c < 0x41 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 
@@ -59,38 +57,70 @@ class Ordinal:
 
 
 def fit_ordinal(at: np.ndarray, of: np.ndarray, width: int, grades: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds by likelihood with a ridge (Adam steps).
+    """Weights and ordered thresholds by likelihood with a ridge.
 
     Row ``at[i]`` has feature ``of[i]``; all else is absent.
     Grades nobody has leave a threshold at an end: it stays where a pseudo-count puts it.
     """
-    n = len(grades)
+    n, rows = len(grades), np.arange(len(grades))
     above = np.array([(np.sum(grades > k) + 0.5) / (n + 1.0) for k in range(levels - 1)])
     cuts = np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(levels - 1))
-    gaps = np.log(np.maximum(np.diff(cuts), 1e-3))
-    theta = np.concatenate((np.zeros(width), cuts[:1], gaps))
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):
-        w, t = theta[:width], theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
+    start = np.concatenate((np.zeros(width), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))))
+    thresholds = lambda theta: theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
+
+    def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        w, t = theta[:width], thresholds(theta)
         s = 1 / (1 + np.exp(-np.clip(np.bincount(at, weights=w[of], minlength=n)[:, None] - t[None, :], -30, 30)))
         full = np.concatenate((np.ones((n, 1)), s, np.zeros((n, 1))), axis=1)
         slope = np.concatenate((np.zeros((n, 1)), s * (1 - s), np.zeros((n, 1))), axis=1)
-        rows = np.arange(n)
         p = np.maximum(full[rows, grades] - full[rows, grades + 1], 1e-12)
         # d log p / d (score - t_k)
-        low, high = slope[rows, grades] / p, -slope[rows, grades + 1] / p
         by_cut = np.zeros((n, levels + 1))
-        by_cut[rows, grades] += low
-        by_cut[rows, grades + 1] += high
+        by_cut[rows, grades] += slope[rows, grades] / p
+        by_cut[rows, grades + 1] -= slope[rows, grades + 1] / p
         by_cut = by_cut[:, 1:-1]
         g_t = by_cut.sum(axis=0) / n
-        gradient = np.concatenate(
-            (-np.bincount(of, weights=by_cut.sum(axis=1)[at], minlength=width) / n + RIDGE * w, [g_t.sum()], [np.exp(theta[width + 1 + k]) * g_t[k + 1 :].sum() for k in range(levels - 2)])
-        )
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return theta[:width], theta[width] + np.concatenate(([0.0], np.cumsum(np.exp(theta[width + 1 :]))))
+        gaps = [np.exp(theta[width + 1 + k]) * g_t[k + 1 :].sum() for k in range(levels - 2)]
+        # the gaps' logarithms are held to their start, so that a grade nobody has cannot drift off
+        held = theta[width + 1 :] - start[width + 1 :]
+        gradient = np.concatenate((-np.bincount(of, weights=by_cut.sum(axis=1)[at], minlength=width) / n + RIDGE * w, [g_t.sum()], gaps + RIDGE * held))
+        return float(-np.log(p).sum() / n + RIDGE / 2 * (w @ w + held @ held)), gradient
+
+    theta = _descend(loss, start)
+    return theta[:width], thresholds(theta)
+
+
+def _descend(loss, x: np.ndarray) -> np.ndarray:
+    """The least of a smooth function by quasi-Newton steps with a bounded memory."""
+    value, gradient = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(gradient).max(initial=0.0) < 1e-6:
+            break
+        way, kept = gradient.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ way) / (s @ y)
+            way -= a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            way += (a - (y @ way) / (s @ y)) * s
+        size = 1.0 if steps else min(1.0, 1.0 / np.abs(gradient).max())
+        slope = -(way @ gradient)
+        while size > 1e-8:
+            new, fresh = loss(x - size * way)
+            if new <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        move, change = -size * way, fresh - gradient
+        if move @ change > 1e-12:
+            steps = [*steps, (move, change)][-MEMORY:]
+        x, value, gradient = x + move, new, fresh
+    return x
 
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +146,17 @@ def _present(names):
     return run
 
 
-def train(
-    documents: DataFrame, labels: DataFrame, grade: Column, levels: int, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE, by_extent: bool = False
-) -> Ordinal:
+def severity(toxic: Column, quality: Column) -> Column:
+    """Grades from labels alone: 0, not toxic; 1, toxic; 2, toxic in a text of no quality."""
+    return F.when(toxic == 1, F.when(quality == 0, 2).otherwise(1)).when(toxic == 0, 0)
+
+
+def train(documents: DataFrame, labels: DataFrame, grade: Column, levels: int, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Ordinal:
     """Fit on labelled documents.  Rows without an id, or with a grade that is null
-    or not in 0..levels-1, are left out; labels of one id repeat its document.
-    Without labels of both kinds the model says what there is.
+    or not in 0..levels-1, are left out.  Labels of one id repeat its document, and
+    repeated documents repeat their labels: each such row counts, and at most
+    ``sample`` of them are fitted on.  Without labels of both kinds the model says
+    what there is.
     """
     spark = documents.sparkSession
     small_batches(spark)
@@ -140,15 +175,14 @@ def train(
     rows = counted.filter((F.col("feature") != "") & (F.col("all") >= LEAST_DOCS)).select("feature", z.alias("z")).filter(F.col("z") >= LEAST_Z)
     names = {r[0]: k for k, r in enumerate(rows.orderBy(F.desc("z"), "feature").collect())}
     chosen = graded.orderBy(F.xxhash64("id"), "id", "grade").limit(sample)
-    known = texts.join(F.broadcast(chosen), "id").select("text", "grade")  # at most ``sample`` small rows
+    known = texts.join(F.broadcast(chosen), "id")  # at most ``sample`` small rows are sent
+    # repeated documents can make more of them again
+    known = known.orderBy(F.xxhash64("id"), F.xxhash64("text"), "grade").limit(sample).select("text", "grade")
     found = known.mapInArrow(_present(spark.sparkContext.broadcast(names)), "found array<int>, grade int").collect()
     at = np.repeat(np.arange(len(found)), [len(own) for own, _ in found])
     of = np.array([k for own, _ in found for k in own], dtype=np.int64)
     grades = np.array([r[1] for r in found], dtype=np.int64)
-    if by_extent:
-        extent = np.bincount(at, minlength=len(found))
-        grades = np.where(grades > 0, 1 + (extent > (np.median(extent[grades > 0]) if (grades > 0).any() else 0)), 0)
-    return Ordinal(names, *fit_ordinal(at, of, len(names), grades, 3 if by_extent else levels))
+    return Ordinal(names, *fit_ordinal(at, of, len(names), grades, levels))
 
 
 def _scorer(shared, schema: pa.Schema):
@@ -159,10 +193,10 @@ def _scorer(shared, schema: pa.Schema):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             scores = np.array([sum(sorted(weights[f] for f in features_of(x) & weights.keys())) for x in texts], dtype=np.float64)
             above = model.above(scores)
-            grade = (above > 0.5).sum(axis=1)
+            grade = (above >= REACHED_FROM).sum(axis=1)
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.record_batch(
-                [*columns, pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= TOXIC_FROM)], schema=schema
+                [*columns, pa.array(above.sum(axis=1)), pa.array(grade.astype(np.int32)), pa.array(above[:, 0]), pa.array(grade > 0)], schema=schema
             )
 
     return run
@@ -170,13 +204,15 @@ def _scorer(shared, schema: pa.Schema):
 
 def score(documents: DataFrame, model: Ordinal, carry: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
     """A row per document: the carried columns, ``expected_severity``, ``grade``
-    (the highest that is more likely reached than not), ``p_toxic`` (of any grade
-    above 0) and ``toxic`` (whether that is at least ``TOXIC_FROM``).
+    (the highest that is reached with a probability of at least ``REACHED_FROM``),
+    ``p_toxic`` (of any grade above 0) and ``toxic`` (whether the grade is above 0).
 
     Null and empty texts have no features and get the thresholds' prior.
     Repeated rows and null ids are scored row by row.  Columns that are not
-    named are not read.
+    named are not read; a carried column may not have the name of an added one
+    (``ValueError``) or begin with two underscores.
     """
+    refuse_clash(carry, ("expected_severity", "grade", "p_toxic", "toxic"))
     spark = documents.sparkSession
     small_batches(spark)
     schema = T.StructType(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._common import bounded_sample, small_batches
+from ._common import bounded_sample, refuse_clash, small_batches
 
 #: Labelled rows that the trees are fitted on, at most.
 SAMPLE = 20_000
@@ -194,22 +194,28 @@ def judge(
     ``labelled`` has ``url`` and ``blocked``, and may have carried columns; without it, the pages that a rule
     decides are the labelled URLs.  A null URL, or one without ``://``, has an
     empty host and path.  Without labelled URLs the trees say a half, which
-    allows.  Repeated rows and null ids are judged row by row.
+    allows.  Repeated rows and null ids are judged row by row.  A carried column may
+    not have the name of an added one or begin with two underscores (``ValueError``).
     """
+    refuse_clash(carry, ("host", "path", "rule", "p_block", "verdict"))
     spark = pages.sparkSession
     small_batches(spark)
-    host, path = host_and_path(F.col("url"))
+    host, path = host_and_path(F.col("__url"))
     located = lambda df: df.withColumns({"host": host, "path": path})
-    rows = located(pages.select(*[pages[c] for c in carry], F.coalesce(pages[url_column].cast("string"), F.lit("")).alias("url")))
+    rows = located(pages.select(*[pages[c] for c in carry], F.coalesce(pages[url_column].cast("string"), F.lit("")).alias("__url")))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     ids = carry if labelled is None else tuple(c for c in carry if c in labelled.columns)
+    named = tuple(f"__id{k}" for k in range(len(ids)))
     if labelled is None:
-        known = rows.withColumn("v", verdict).filter("v IS NOT NULL").select(*ids, "url", "host", "path", (F.col("v") == "block").alias("blocked"))
+        known = rows.select(*[F.col(c).alias(n) for c, n in zip(ids, named, strict=True)], F.col("__url").alias("url"), "host", "path", (verdict == "block").alias("blocked"))
+        known = known.dropna(subset=["blocked"])
     else:
-        known = located(labelled.select(*ids, "url", "blocked").dropna(subset=["url", "blocked"])).select(*ids, "url", "host", "path", "blocked")
-    shared = spark.sparkContext.broadcast(train(known, sample, ids))
-    schema = T.StructType([pages.schema[c] for c in carry] + [T.StructField(n, T.StringType()) for n in ("url", "host", "path")] + [T.StructField("p_block", T.DoubleType())])
-    scored = rows.select(*carry, "url", "host", "path").mapInArrow(_scorer(shared, to_arrow_schema(schema)), schema)
+        own = labelled.dropna(subset=["url", "blocked"])
+        own = own.select(*[own[c].alias(n) for c, n in zip(ids, named, strict=True)], own["url"].alias("__url"), "blocked")
+        known = located(own).withColumnRenamed("__url", "url")
+    shared = spark.sparkContext.broadcast(train(known, sample, named))
+    schema = T.StructType([pages.schema[c] for c in carry] + [T.StructField(n, T.StringType()) for n in ("__url", "host", "path")] + [T.StructField("p_block", T.DoubleType())])
+    scored = rows.select(*carry, "__url", "host", "path").mapInArrow(_scorer(shared, to_arrow_schema(schema)), schema)
     return scored.select(
         *carry,
         "host",

@@ -1,8 +1,10 @@
 """A Python data source for WARC archives, ``format("warc")``.
 
 Writing: each task writes one archive of records in the folder of the path,
-under a name of its own attempt; committing writes ``_manifest.json`` with the
-names of the attempts that count, so files of lost attempts are never read.
+under a name of its own attempt; committing writes a manifest of its own with the
+names of the attempts that count, so files of lost attempts are never read and two
+commits do not undo each other.  A manifest is written aside and renamed; archives
+of a folder are those of all its manifests.  Every record has the date of writing.
 
 Reading: the driver plans a partition for each range of a file (plain archives
 are cut at ``split`` bytes, a record belongs to the range in which it begins;
@@ -12,7 +14,7 @@ reader parses a record's header first; if the filters reject it, or the payload
 column is not asked for, a plain archive skips over the block without reading it, and
 a compressed one runs over it without decoding it.
 
-Options: ``path`` (a folder or file; any file system that ``pyarrow.fs`` opens),
+Options: ``date`` (of the records), ``path`` (a folder or file; any file system that ``pyarrow.fs`` opens),
 ``compression`` (``none`` or ``gzip``, a member for each record),
 ``columns`` (names to read, comma-joined; all by default), ``split``.
 """
@@ -25,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +51,7 @@ HEADERS = {
     "page_key": "X-Page-Key",
 }
 PUSHED = ("record_type", "target_uri", "record_id", "refers_to")
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = b"\r\n\r\n"
 _BUFFER = 1 << 20
@@ -65,13 +68,17 @@ def _line(value) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in str(value))
 
 
-def record_bytes(row: dict) -> bytes:
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_bytes(row: dict, date: str) -> bytes:
     """A record in WARC 1.1.  Revisit records have the HTTP header alone as their block."""
     block = _HTTP + (bytes(row["payload"] or b"") if row["record_type"] != "revisit" else b"")
     lines = [f"{HEADERS[c]}: {_line(row[c])}" for c in HEADERS if row.get(c) is not None]
     if row["record_type"] == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-    head = "\r\n".join(["WARC/1.1", *lines, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"])
+    head = "\r\n".join(["WARC/1.1", *lines, f"WARC-Date: {date}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"])
     return head.encode() + _END + block + _END
 
 
@@ -90,6 +97,7 @@ class Range(InputPartition):
 class WarcWriter(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.gz, self.overwrite = options["path"], options.get("compression", "none") == "gzip", overwrite
+        self.date = options.get("date") or now()
 
     def write(self, rows: Iterator) -> Written:
         system, root = _filesystem(self.path)
@@ -98,7 +106,7 @@ class WarcWriter(DataSourceWriter):
             if out is None:
                 system.create_dir(root, recursive=True)
                 out = system.open_output_stream(f"{root}/{name}", compression=None)
-            data = record_bytes(row.asDict())
+            data = record_bytes(row.asDict(), self.date)
             out.write(gzip.compress(data, 6, mtime=0) if self.gz else data)
         if out is None:
             return Written(None)
@@ -108,10 +116,13 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         system, root = _filesystem(self.path)
         system.create_dir(root, recursive=True)
-        names = [] if self.overwrite else _manifest(system, root) or []
-        names += [m.name for m in messages if m and m.name]
-        with system.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps(sorted(names)).encode())
+        before = _manifests(system, root) if self.overwrite else []
+        name = f"{uuid.uuid4().hex}.json"
+        with system.open_output_stream(f"{root}/.{name}") as out:
+            out.write(json.dumps(sorted(m.name for m in messages if m and m.name)).encode())
+        system.move(f"{root}/.{name}", f"{root}/{MANIFEST}{name}")
+        for old in before:
+            system.delete_file(old)
 
     def abort(self, messages: list) -> None:
         system, root = _filesystem(self.path)
@@ -120,13 +131,20 @@ class WarcWriter(DataSourceWriter):
                 system.delete_file(f"{root}/{m.name}")
 
 
-def _manifest(system, root: str) -> list[str] | None:
+def _manifests(system, root: str) -> list[str]:
     from pyarrow import fs
 
-    if system.get_file_info(f"{root}/{MANIFEST}").type != fs.FileType.File:
-        return None
-    with system.open_input_stream(f"{root}/{MANIFEST}") as at:
-        return json.loads(at.read())
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+
+
+def _archives(system, root: str) -> list[str] | None:
+    """Names of the archives that were committed; None in a folder without manifests."""
+    names, manifests = [], _manifests(system, root)
+    for path in manifests:
+        with system.open_input_stream(path) as at:
+            names += json.loads(at.read())
+    return names if manifests else None
 
 
 class WarcReader(DataSourceReader):
@@ -155,7 +173,7 @@ class WarcReader(DataSourceReader):
         if at.type == fs.FileType.File:
             files = [at]
         else:
-            names = _manifest(system, root)
+            names = _archives(system, root)
             if names is None:
                 found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
                 files = [x for x in found if x.path.endswith((".warc", ".warc.gz"))]
@@ -335,25 +353,27 @@ def records_of(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     ``page_id`` is a response (each row of it, where rows repeat) and the others
     revisit it; a page with a null id revisits the smallest id, and is a response
     where no page of the payload has one.  A null html is an empty payload.
+    Record ids are ``<urn:page:page:row>``, so that repeated pages have ids of their own;
+    a revisit refers to the first row of its page.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").alias("target_uri"), payload.alias("payload")).select(
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").alias("target_uri"), payload.alias("payload")).select(
         "*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_length")
     )
     firsts = (
         rows.filter(F.col("payload_length") >= least_bytes)
         .groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1 AND first IS NOT NULL")
     )
     joined = rows.join(firsts.select("digest", "first"), "digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    urn = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(">"))
+    again = F.col("first").isNotNull() & ~F.col("first.page_id").eqNullSafe(F.col("page_id"))
+    urn = lambda page, row: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), row.cast("string"), F.lit(">"))
     return joined.select(
-        urn(F.col("page_id")).alias("record_id"),
+        urn(F.col("page_id"), F.col("row")).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
-        F.when(again, urn(F.col("first"))).alias("refers_to"),
+        F.when(again, urn(F.col("first.page_id"), F.col("first.row"))).alias("refers_to"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
         "payload_length",
         F.col("page_id").cast("string").alias("page_key"),
