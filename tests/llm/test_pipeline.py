@@ -60,6 +60,13 @@ def test_empty_and_further_columns(spark, folder):
     assert wide.count() > 0 and none.count() == 0
 
 
+def test_text_alone(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(*SCHEMA.split()[2:3])
+    for _, stage in P.STAGES[:1] + P.STAGES[2:-1]:
+        docs = stage(spark, docs, folder)
+    assert docs.columns == ["text"] and docs.count() > 0
+
+
 def test_all_are_registered():
     known = __spark_entry__.queries()
     assert "pipeline" in known
