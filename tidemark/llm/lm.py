@@ -108,14 +108,10 @@ class Code:
         self.first, self.nodes, self.bits, self.kind, self.table_bits = first, nodes, bits, kind, table_bits
         self.sizes = np.diff(first)
         depth = np.arange(len(nodes)) - np.repeat(first[:-1], self.sizes)
-        sets = np.minimum(depth, 7) + 8 * kind
-        #: Where the row of a bit's set, with the bit that comes, begins in the final map.
-        self.way = ((2 * sets + bits) * WAYS).astype(np.int32)
-        #: The gate's part that a place decides: the kind, and whether three bits have come.
-        self.gate = (16 * kind + 32 * (depth > 2)).astype(np.uint8)
-        self.base = (nodes + np.uint32(1)) * _ODD[0] + np.uint32(kind * 0x51ED27)
+        #: By place: a hash of the node, and in the last four bits the depth up to 7 and the bit that comes.
+        self.place = (nodes + np.uint32(1 + kind * 0x51ED27)) * _ODD[0] & np.uint32(0xFFFFFFF0)
+        self.place |= (2 * np.minimum(depth, 7) + bits).astype(np.uint32)
         self.shift = np.uint32(32 - table_bits)
-        self.alone = self._slot(self.base * _ODD[1])
 
     def __getstate__(self):
         """What cannot be worked out again, so that broadcasts stay small."""
@@ -126,32 +122,34 @@ class Code:
         first = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         self._set(first, nodes, np.unpackbits(bits, count=len(nodes)), kind, table_bits)
 
-    def _slot(self, mixed: np.ndarray) -> np.ndarray:
-        mixed ^= mixed >> np.uint32(15)
-        mixed *= _ODD[2]
-        mixed >>= self.shift
-        return mixed.astype(np.int64)
-
-    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of all bits of the symbols, their numbers of bits, and where each begins."""
+    def spread(self, symbols: np.ndarray, contexts: list[np.ndarray | None]) -> tuple:
+        """Slots (a row for each context; None is the place alone), bits, rows of the
+        final map, places' gates, and where each symbol's bits begin."""
         sizes = self.sizes[symbols]
         starts = np.cumsum(sizes) - sizes
-        place = np.repeat(self.first[symbols] - starts, sizes)
-        place += np.arange(len(place))
-        return place, sizes, starts
-
-    def slots(self, place: np.ndarray, sizes: np.ndarray, contexts: list[np.ndarray | None]) -> list[np.ndarray]:
-        """A row of slots for each context; None is the place alone."""
-        base, out = self.base.take(place), []
+        at = np.repeat(self.first[symbols] - starts, sizes)
+        at += np.arange(len(at))
+        place, slots = self.place.take(at), []
+        last = (place & np.uint32(15)).astype(np.uint8)
+        node = place & np.uint32(0xFFFFFFF0)
         for context in contexts:
             if context is None:
-                out.append(self.alone.take(place))
+                mixed = node * _ODD[1]
             else:
                 mixed = np.repeat(context, sizes)
-                mixed ^= base
+                mixed ^= node
+                mixed *= _ODD[2]
+                mixed ^= mixed >> np.uint32(15)
                 mixed *= _ODD[1]
-                out.append(self._slot(mixed))
-        return out
+            mixed >>= self.shift
+            slots.append(mixed.astype(np.int64))
+        way = last.astype(np.int32)
+        way += 16 * self.kind
+        way *= WAYS
+        # the gate's part that a place decides: the kind, and whether three bits have come
+        gate = (last >= 6).astype(np.uint8) << np.uint8(5)
+        gate |= np.uint8(16 * self.kind)
+        return slots, last & 1, way, gate, starts
 
 
 @dataclass
@@ -224,11 +222,10 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
     second[begins] = 0
     for k in range(0, len(numbers), SLICE):
         own = slice(k, k + SLICE)
-        place, sizes, starts = codes.words.places(texts.numbers[own])
         one = before[own] * _ODD[3]
         contexts = [None, one, (one + np.uint32(7)) ^ (second[own] * _ODD[4]), second[own] * _ODD[1] + np.uint32(3)]
-        slots = codes.words.slots(place, sizes, contexts)
-        yield slots, codes.words.bits.take(place), codes.words.way.take(place), starts, np.arange(k, k + len(starts)), codes.words.gate.take(place)
+        slots, bits, way, gate, starts = codes.words.spread(texts.numbers[own], contexts)
+        yield slots, bits, way, starts, np.arange(k, k + len(starts)), gate
     if texts.tail:
         spelled = np.frombuffer(END.join(texts.tail) + END, dtype=np.uint8)
         sizes = np.fromiter(map(len, texts.tail), dtype=np.int64, count=len(texts.tail)) + 1
@@ -240,9 +237,8 @@ def bits_of(texts: Texts, codes: Codes) -> Iterator[tuple]:
             own = slice(k, k + 2 * SLICE)
             a, b, c = (x[own] for x in past)
             contexts = [a * _ODD[3], (a | b << np.uint32(8)) * _ODD[4], (a | b << np.uint32(8) | c << np.uint32(16)) * _ODD[1], None]
-            place, sizes, starts = codes.letters.places(spelled[own].astype(np.int64))
-            slots = codes.letters.slots(place, sizes, contexts)
-            yield slots, codes.letters.bits.take(place), codes.letters.way.take(place), starts, token[own], codes.letters.gate.take(place)
+            slots, bits, way, gate, starts = codes.letters.spread(spelled[own].astype(np.int64), contexts)
+            yield slots, bits, way, starts, token[own], gate
 
 
 def evidence(total: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -334,7 +330,7 @@ class Learner:
     def __init__(self, codes: Codes) -> None:
         size = 1 << codes.table_bits
         self.codes = codes
-        self.counts = np.zeros((CONTEXTS, 2 * size), dtype=np.int64)
+        self.counts = np.zeros((CONTEXTS, 2 * size), dtype=np.uint32)
         self.weights = first_weights()
         self.weighed = np.zeros(GATES)
         #: By set, bit that came and step of the mix.
@@ -361,11 +357,10 @@ class Learner:
             start = stop
 
     def learn(self, texts: Texts) -> None:
-        met: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         parts = parts_of(self.weights)
         for slots, bits, way, _, _, gate in bits_of(texts, self.codes):
             rows, gates, at = mixed(slots, gate, self.evident, parts)
-            error = bits - _CHANCE.take(at, mode="clip")
+            error = (bits - _CHANCE.take(at, mode="clip")).astype(np.float64)
             hits = np.bincount(gates, minlength=GATES)
             rate = RATE * np.sqrt(np.minimum(hits, 400)) / np.maximum(hits, 1)
             for k in range(CONTEXTS):
@@ -374,27 +369,15 @@ class Learner:
             parts = parts_of(self.weights)
             self.weighed += hits
             at += way
-            self.came += np.bincount(at, minlength=len(self.came))
+            np.add.at(self.came, at, 1)
             for k, row in enumerate(slots):
                 row *= 2
                 row += bits
-                met[k].append(row)
+                np.add.at(self.counts[k], row, np.uint32(1))
+        # predictions follow the counts at the end of each step
         for k in range(CONTEXTS):
-            self._count(k, np.concatenate(met[k]) if met[k] else np.zeros(0, dtype=np.int64))
-
-    def _count(self, k: int, met: np.ndarray) -> None:
-        """Count bits of a context; predictions follow at once, in the slots that were met."""
-        counts = self.counts[k]
-        if 16 * len(met) < len(counts):  # few of the slots: touch those only
-            both, times = np.unique(met, return_counts=True)
-            counts[both] += times
-            at = np.unique(both >> 1)
-        else:
-            fresh = np.bincount(met, minlength=len(counts))
-            counts += fresh
-            at = np.flatnonzero(fresh[::2] | fresh[1::2])
-        zeros, ones = counts[2 * at].astype(np.float32), counts[2 * at + 1].astype(np.float32)
-        self.evident[k][at] = evidence(zeros + ones, ones)
+            ones = self.counts[k][1::2].astype(np.float32)
+            self.evident[k] = evidence(self.counts[k][::2].astype(np.float32) + ones, ones)
 
     def map_counts(self) -> np.ndarray:
         """By set and step of the map: bits seen, then ones among them."""
