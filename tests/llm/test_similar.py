@@ -66,3 +66,23 @@ def test_stages_are_written(spark, tmp_path):
     spark.createDataFrame([(1, "no such passage in here")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     files = P.run(spark, f"file://{tmp_path}").inputFiles()
     assert files and all("/secret-scan-" in f for f in files)
+
+
+def test_fingerprints_bring_candidates(spark):
+    """The operator's links of fingerprints are among the candidates: without bands, near copies are found by them alone."""
+    from pyspark.sql import functions as F
+
+    r, rows, want = random.Random(9), [], []
+    for k in range(20):
+        base = [f"y{r.randrange(9000)}" for _ in range(600)]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join([*base[:300], "other", *base[301:]])))
+    sets = {k: similar.shingles(x) for k, x in rows}
+    fps = {k: similar.simhash.majority(x) for k, x in sets.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and (fps[a] ^ fps[b]).bit_count() <= 4 and similar.alike(sets[a], sets[b])}
+    assert len(want) >= 10
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(k, len(sets[k]), signed(fps[k]), similar.parity(sets[k]).tolist(), [k]) for k in sets], "node long, size long, fp long, parity array<long>, bands array<long>")
+    texts = spark.createDataFrame(rows, "node long, text string")
+    found = {(x["a"], x["b"]) for x in similar.links(nodes, texts).select(F.col("a"), F.col("b")).collect()}
+    assert found == want

@@ -65,10 +65,9 @@ def shingle_hashes(text: str, size: int = WORDS) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str, size: int = WORDS) -> int:
-    """The unsigned 64-bit fingerprint of a text; zero for one without words."""
-    hashes = shingle_hashes(text, size)
-    if not hashes:
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that over half of the hashes have set; zero for none."""
+    if not len(hashes):
         return 0
     by_byte = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     if len(hashes) < 256:
@@ -78,6 +77,11 @@ def fingerprint(text: str, size: int = WORDS) -> int:
     return int(_POWERS[2 * counts > len(hashes)].sum(dtype=np.uint64))
 
 
+def fingerprint(text: str, size: int = WORDS) -> int:
+    """The unsigned 64-bit fingerprint of a text; zero for one without words."""
+    return majority(shingle_hashes(text, size))
+
+
 def _fingerprints(schema_names: list[str], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

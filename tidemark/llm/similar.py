@@ -1,15 +1,19 @@
 """Near-duplicates by the exact similarity of their word shingles.
 
 Two texts link when their sets of ``WORDS``-word shingles have a Jaccard
-similarity of at least 4/5.  Fingerprints of 64 bits are too coarse for that: at
-4/5 some ten of their bits differ.  Candidates are therefore texts that share a
-band: ``ROWS`` minima of hashed shingles, of ``BANDS`` times as many.  A pair at
-exactly 4/5 shares none with probability (1 - 0.8**6)**30, about 1 in 9,000, and
-a closer pair more seldom still.  Every candidate is verified on its texts before
-it links.
+similarity of at least 4/5.  The first candidates are those of the operator in
+``simhash``: fingerprints of the sets, brought together by deletion-variant
+signatures, within four bits.  Links of fingerprints are a spanning forest, and of
+texts with one fingerprint each is held against the first.  Every candidate is
+verified on its texts before it links.
+
+Fingerprints of 64 bits are too coarse for all of 4/5: there some ten of their bits
+differ.  So texts that share a band are candidates as well: ``ROWS`` minima of
+hashed shingles, of ``BANDS`` times as many.  A pair at exactly 4/5 shares none with
+probability (1 - 0.8**6)**30, about 1 in 9,000, and a closer pair more seldom still.
 
 Texts with equal shingle sets are one node, so copies never meet each other.  A
-candidate is first held against a bound that needs no text: the symmetric
+candidate of a band is first held against a bound that needs no text: the symmetric
 difference is at least the difference of the sizes, and at least the number of
 bits in which the sets' parity maps differ.  The bound drops no linked pair.
 
@@ -31,7 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import small_batches, staged, text_of, unstage
+from . import simhash
+from ._common import release, small_batches, staged, text_of, unstage
 from .simhash import components, shingle_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 6
@@ -78,6 +83,7 @@ def _sketches(schema: pa.Schema):
             made = [
                 pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()),
                 pa.array([len(x) for x in sets], pa.int64()),
+                pa.array(np.array([simhash.majority(x) for x in sets], dtype=np.uint64).view(np.int64)),
                 pa.array([parity(x) for x in sets], pa.list_(pa.int64())),
                 pa.array([bands(x) for x in sets], pa.list_(pa.int64())),
             ]
@@ -102,11 +108,38 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct links (a, b) between the labels of pairs whose texts are alike."""
-    one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    whole = pairs.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").sortWithinPartitions("a").select("one", "two", "text_a", "text_b")
+    """Distinct links (a, b) between the labels of pairs whose texts are alike.
+
+    All texts are shuffled once, to take out those that pairs name.
+    """
+    pairs = staged(pairs.distinct(), "similar-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = staged(texts.join(named.hint("merge"), "node", "left_semi"), "similar-texts")
+    release(texts.sparkSession)
+    one, two = (few.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    whole = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").sortWithinPartitions("a").select("one", "two", "text_a", "text_b")
     found = whole.mapInArrow(_verify, "one long, two long")
-    return staged(found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "similar-links")
+    made = staged(found.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct(), "similar-links")
+    unstage(pairs, few)
+    release(texts.sparkSession)
+    return made
+
+
+def fingerprinted(nodes: DataFrame, place: int = simhash.IN_PLACE) -> DataFrame:
+    """Candidates (a, b, one, two), staged: nodes (``node``, ``fp``) of one fingerprint
+    against the first of them, and the first nodes of fingerprints that
+    deletion-variant signatures link.  At most a few for each node.
+    """
+    firsts = staged(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "similar-fingerprints")
+    found = simhash.links(firsts.select("fp"), place)
+    one, two = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
+    across = found.distinct().join(one.hint("merge"), "a").join(two.hint("merge"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    within = nodes.join(firsts.filter("n > 1").select("fp", "first").hint("merge"), "fp").filter("first < node").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = staged(pairs.select("a", "b", F.col("a").alias("one"), F.col("b").alias("two")), "similar-candidates")
+    unstage(firsts, found)
+    release(nodes.sparkSession)
+    return pairs
 
 
 def _labelled() -> list[Column]:
@@ -146,14 +179,16 @@ def _led(rows: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, texts: DataFrame, few: int = FEW, most: int = PAIRS) -> DataFrame:
     """Pairs (a, b) that connect what verified pairs link.
 
-    ``nodes`` has ``node``, ``size``, ``parity`` and ``bands``; ``texts`` has ``node`` and ``text``.
+    ``nodes`` has ``node``, ``size``, ``fp``, ``parity`` and ``bands``; ``texts`` has ``node`` and ``text``.
     """
+    close = fingerprinted(nodes.select("node", "fp"))
     listed = nodes.select("node", F.posexplode("bands").alias("slot", "part"))
     counted = listed.withColumn("n", F.count("*").over(Window.partitionBy("slot", "part")))
     shared = staged(counted.filter("n > 1"), "similar-bands")
     slim = nodes.select("node", "size", "parity")
     small = shared.filter(F.col("n") <= few).join(slim.hint("merge"), "node").withColumn("label", F.col("node"))
-    edges = _verified(_pairs(small), texts)
+    edges = _verified(_pairs(small).unionByName(close), texts)
+    unstage(close)
     of_node = shared.filter(F.col("n") > few).groupBy("node").agg(F.collect_list(F.struct("slot", "part", "n")).alias("large"))
     large = staged(of_node.join(slim.hint("merge"), "node"), "similar-large")
     unstage(shared)
@@ -199,12 +234,12 @@ def drop_similar(
     small_batches(spark)
     kept = staged(documents.withColumn("__row", F.monotonically_increasing_id()), "similar-rows")
     slim = kept.select("__row", F.struct(F.col(id_column).isNull(), F.col(id_column), F.col("__row").alias("row")).alias("key"), text_of(kept, text_column).alias("text"))
-    made = [T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType())]
+    made = [T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("fp", T.LongType())]
     made += [T.StructField(n, T.ArrayType(T.LongType())) for n in ("parity", "bands")]
     schema = T.StructType([*slim.schema.fields[:2], *made])
     rows = staged(slim.mapInArrow(_sketches(schema.names), schema), "similar-sketches")
     # equal digests are equal sets, so any row's sketch will do
-    own = rows.groupBy("digest").agg(F.min("__row").alias("node"), F.min("key").alias("first"), *[F.first(c).alias(c) for c in ("size", "parity", "bands")])
+    own = rows.groupBy("digest").agg(F.min("__row").alias("node"), F.min("key").alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "bands")])
     own = staged(own, "similar-nodes")
     labels = components(links(own, slim.select(F.col("__row").alias("node"), "text"), few, most))
     labelled = own.select("node", "first").join(labels.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
