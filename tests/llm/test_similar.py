@@ -86,3 +86,34 @@ def test_fingerprints_bring_candidates(spark):
     texts = spark.createDataFrame(rows, "node long, text string")
     found = {(x["a"], x["b"]) for x in similar.links(nodes, texts).select(F.col("a"), F.col("b")).collect()}
     assert found == want
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have shuffled so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_single_texts_are_not_shuffled(spark):
+    """Only texts that pairs name, and rows that may be copies, are moved, however many rounds there are."""
+    r = random.Random(4)
+    rows = [(k, " ".join(f"{r.getrandbits(64):x}" for _ in range(1500))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(6)] + [(2000 + k, rows[k][1]) for k in range(6)]
+    docs, before = spark.createDataFrame(rows, SCHEMA), shuffled(spark)
+    got = [x[0] for x in similar.drop_similar(docs, few=1, most=0).collect()]
+    assert sorted(got) == sorted(k for k, _ in rows if k < 1000)
+    assert shuffled(spark) - before < 0.5 * sum(len(x) for _, x in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 1 << 17])
+def test_marks_lose_no_key(spark, n, monkeypatch):
+    from pyspark.sql import functions as F
+    from tidemark.llm import _common
+
+    monkeypatch.setattr(_common, "MARK_BITS", 17)
+    keys = spark.range(0, 7 * n, 7).toDF("k")
+    found = _common.marked(spark.range(max(1, 8 * n)).toDF("node"), "node", _common.marks(keys, n))
+    inside = (F.col("node") % 7 == 0) & (F.col("node") < 7 * n)
+    kept, lost, others = found.agg(F.count("*"), F.count_if(inside & ~F.col("__marked")), F.count_if(~inside & F.col("__marked"))).first()
+    assert kept == max(1, 8 * n) and lost == 0
+    assert others <= (0.1 * 7 * n if n <= 3000 else 7 * n)

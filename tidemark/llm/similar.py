@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from ._common import release, small_batches, staged, text_of, unstage
+from ._common import marked, marks, release, small_batches, staged, text_of, unstage
 from .simhash import components, shingle_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 6
@@ -110,11 +110,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct links (a, b) between the labels of pairs whose texts are alike.
 
-    All texts are shuffled once, to take out those that pairs name.
+    Of the texts only those that pairs name are shuffled (and a few that bits take for them).
     """
     pairs = staged(pairs.distinct(), "similar-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    few = staged(texts.join(named.hint("merge"), "node", "left_semi"), "similar-texts")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    near = marked(texts, "node", marks(named, 2 * pairs.count())).filter("__marked").select("node", "text")
+    few = staged(near.join(named.distinct().hint("merge"), "node", "left_semi"), "similar-texts")
     release(texts.sparkSession)
     one, two = (few.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     whole = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").sortWithinPartitions("a").select("one", "two", "text_a", "text_b")
@@ -241,7 +242,16 @@ def drop_similar(
     # equal digests are equal sets, so any row's sketch will do
     own = rows.groupBy("digest").agg(F.min("__row").alias("node"), F.min("key").alias("first"), *[F.first(c).alias(c) for c in ("size", "fp", "parity", "bands")])
     own = staged(own, "similar-nodes")
-    labels = components(links(own, slim.select(F.col("__row").alias("node"), "text"), few, most))
+    unstage(rows)
+    release(spark)
+    edges = links(own, slim.select(F.col("__row").alias("node"), "text"), few, most)
+    labels = components(edges)
     labelled = own.select("node", "first").join(labels.hint("merge"), "node", "left").groupBy(F.coalesce("label", "node").alias("label"))
     stay = labelled.agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return kept.join(stay.hint("merge"), "__row", "left_semi").select(*names)
+    gone = staged(kept.select("__row").join(stay.hint("merge"), "__row", "left_anti"), "similar-gone")
+    unstage(own, edges, labels)
+    release(spark)
+    # rows that no bit takes for a copy stay where they are
+    split = marked(kept, "__row", marks(gone, gone.count()))
+    doubtful = split.filter("__marked").join(gone.hint("merge"), "__row", "left_anti")
+    return split.filter("not __marked").select(*names).unionByName(doubtful.select(*names))
